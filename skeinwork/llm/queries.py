@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import exact_dedup, packing, quality, sharding, url_filters
+from skeinwork.llm import exact_dedup, ngram_join, packing, quality, sharding, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = sharding.shard(_table(spark, sf_dir, "documents"), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -43,6 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_sharding": op3_sharding,
         "op4_quality_rules": op4_quality_rules,
         "op7_best_fit_packing": op7_best_fit_packing,
@@ -108,8 +113,22 @@ FROM found JOIN tree USING ({kept})
     return out
 
 
-OP3_SQL = None
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [ws]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3]) END) AS sh FROM w
+), t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p
+), r(src, dst) AS (SELECT x, y FROM e UNION SELECT r.src, e.y FROM r JOIN e ON r.dst = e.x)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(c.m, s.doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT src, min(dst) AS m FROM r GROUP BY src) c ON c.src = s.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": _op8_sql(), "op10_exact_dedup": OP10_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op8_url_filters": _op8_sql(), "op10_exact_dedup": OP10_SQL}
