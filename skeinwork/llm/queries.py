@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import exact_dedup, ngram_join, packing, quality, sharding, url_filters
+from skeinwork.llm import exact_dedup, ngram_join, packing, quality, sharding, substring_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_sharding": op3_sharding,
         "op4_quality_rules": op4_quality_rules,
+        "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_url_filters": op8_url_filters,
         "op10_exact_dedup": op10_exact_dedup,
