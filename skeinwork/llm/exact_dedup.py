@@ -73,3 +73,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ((alone | F.col("keep").eqNullSafe(F.col("id"))) & (first == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    names = docs.columns
+    stays = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    sha = F.sha2(without_spaces(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), 256)
+    found = docs.withColumn("__own_sha", sha).withColumn("__chars", F.length(F.col(f"`{text_col}`")))
+    found = found.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__own_sha") == F.col("__sha")))
+    nth = F.row_number().over(Window.partitionBy(id_col, "__own_sha").orderBy(F.desc_nulls_last("__chars")))
+    return found.withColumn("__nth", nth).filter("__nth = 1").select(*[F.col(f"`{c}`") for c in names])

@@ -235,3 +235,10 @@ def _mixed_lists(at: DataFrame) -> DataFrame:
     lists = at.groupBy("tok").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("pos", "rep", "component")).alias("lead"))
     lists = lists.filter("low <> high").select("tok", F.col("lead.component").alias("main"))
     return at.join(lists, "tok")
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose id is their component's smallest, with all their columns; rows without an id stay."""
+    found = jaccard_components(docs, id_col, text_col, width, percent)
+    out = found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__id")).distinct()
+    return docs.join(out, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")

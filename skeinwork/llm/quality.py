@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinwork.llm.shared import cut, plain
 from skeinwork.llm.words import WHITE, chunks, lines, range_hashes, texts, windows, words
@@ -131,6 +132,21 @@ def fences(stats: DataFrame) -> DataFrame:
     return both.groupBy("lang", "source").pivot("metric", list(MARGINS)).agg(F.max(fence))
 
 
+def _rejections(min_words: int, max_repeat_percent: int) -> tuple[Column, Column]:
+    """Whether the base rules reject a row, and whether its metrics lie within its group's fences."""
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    within = F.lit(True)
+    for metric, value in _metrics().items():
+        within &= F.coalesce(value <= F.col(f"f_{metric}"), F.lit(True))
+    return failed, within
+
+
+def _with_fences(stats: DataFrame, limits: DataFrame) -> DataFrame:
+    limits = limits.withColumnsRenamed({m: f"f_{m}" for m in MARGINS} | {"lang": "f_lang", "source": "f_source"})
+    side = F.broadcast(limits) if limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else limits
+    return stats.join(side, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """One row per input row: id, the base measures, base_failed and kept.
 
@@ -140,12 +156,28 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     table gives no rows; other columns are ignored.
     """
     stats = cut(measured(docs, id_col, text_col, lang_col, source_col), "quality-measures")
-    limits = cut(fences(stats), "quality-fences").withColumnsRenamed({m: f"f_{m}" for m in MARGINS})
-    limits = limits.withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
-    side = F.broadcast(limits) if limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else limits
-    found = stats.join(side, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    within = F.lit(True)
-    for metric, value in _metrics().items():
-        within &= F.coalesce(value <= F.col(f"f_{metric}"), F.lit(True))
+    found = _with_fences(stats, cut(fences(stats), "quality-fences"))
+    failed, within = _rejections(min_words, max_repeat_percent)
     return found.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & within).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with all their columns. Whole rows ride along with their measures, so no text is shuffled."""
+    limits = cut(fences(cut(measured(docs, id_col, text_col, lang_col, source_col), "quality-measures")), "quality-fences")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts(batch.column("text"))
+            for a, b in chunks(offsets):
+                lo, hi = offsets[a], offsets[b]
+                got = measures(data[lo:hi], offsets[a : b + 1] - lo)
+                some = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("lang"), some.column("source"), some.column("rest"), *(pa.array(v.astype(np.int64)) for v in got.values())], names=["lang", "source", "rest", *got]
+                )
+
+    schema = T.StructType([*rows.drop("text").schema.fields, *[T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]])
+    failed, within = _rejections(min_words, max_repeat_percent)
+    return _with_fences(rows.mapInArrow(run, schema), limits).filter(~failed & within).select("rest.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import exact_dedup, ngram_join, packing, pii, quality, sharding, substring_dedup, url_filters
+from skeinwork.llm import exact_dedup, ngram_join, packing, pii, quality, sampled_pieces, sharding, substring_dedup, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces.sampled(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), k=2, with_ids=False)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,12 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged_urls(_table(spark, sf_dir, "pages"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -59,9 +69,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_sharding": op3_sharding,
         "op4_quality_rules": op4_quality_rules,
+        "op5_sampled_pieces": op5_sampled_pieces,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_url_filters": op8_url_filters,
+        "op9_token_counts": op9_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
