@@ -20,8 +20,8 @@ def gated_identity(identity: str | None) -> str:
 def decisions(nodes: DataFrame, rules: DataFrame, identity: str) -> DataFrame:
     """``nodes`` with ``decision``: deny beats mask, mask beats filter, filter beats allow; no rule is deny.
 
-    The identity's rules are folded to one row per kind (and one for all kinds) before the join, so nodes are
-    never multiplied; there are at most as many rows as kinds, and they are broadcast.
+    The identity's rules are folded to one row per kind, and one for all kinds, before the join, so nodes are
+    never multiplied.
     """
     rules = rules.filter(F.col("identity") == identity)
     flags = [
@@ -30,13 +30,11 @@ def decisions(nodes: DataFrame, rules: DataFrame, identity: str) -> DataFrame:
         F.bool_or((F.col("kind") == "rls") & (F.col("effect") == "allow")).alias("rls"),
         F.bool_or(F.col("effect") == "allow").alias("allow"),
     ]
-    kinds = nodes.select("kind").distinct()
-    general = rules.filter("selector_kind is null").crossJoin(F.broadcast(kinds.withColumnRenamed("kind", "__kind")))  # kinds are a dozen
-    special = rules.filter("selector_kind is not null").withColumn("__kind", F.col("selector_kind"))
-    per_kind = general.unionByName(special).groupBy("__kind").agg(*flags)
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    general = rules.filter("selector_kind is null").agg(*flags).first()  # one row
+    special = rules.filter("selector_kind is not null").groupBy(F.col("selector_kind").alias("__kind")).agg(*flags)
+    yes = lambda c: F.lit(bool(general[c])) | F.coalesce(F.col(c), F.lit(False))
     decision = F.when(yes("deny"), "deny").when(yes("mask"), "mask").when(yes("rls"), "filter").when(yes("allow"), "allow").otherwise("deny")
-    joined = nodes.join(F.broadcast(per_kind), nodes["kind"] == F.col("__kind"), "left")
+    joined = nodes.join(special, nodes["kind"] == F.col("__kind"), "left")
     return joined.withColumn("decision", decision).select(*nodes.columns, "decision")
 
 
