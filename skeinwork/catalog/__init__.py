@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skeinwork.catalog import contracts, data_graph, static_lineage
+
 FLAGSHIP = "graph_reach"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return data_graph.queries() | static_lineage.queries() | contracts.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return data_graph.SQL | static_lineage.oracle_sql() | contracts.oracle_sql()

@@ -24,6 +24,10 @@ def _quoted(value: Column) -> Column:
     return F.concat(F.lit("'"), F.coalesce(value, F.lit("")), F.lit("'"))
 
 
+def _field(name: str):
+    return lambda r: r[name]
+
+
 def _first(rows: Column, get) -> Column:
     """The first value of the ordered rows."""
     return F.get(F.transform(rows, get), F.lit(0))
@@ -119,7 +123,7 @@ def merge_nodes(frames: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
         _warn(many, F.lit("schema_drift"), F.transform(drift, lambda k: F.concat(F.lit("Conflicting physical bindings for "), _quoted(id_), F.lit(" at ("), F.concat_ws(", ", *[_quoted(k[f]) for f in ("warehouse", "database", "schema", "table", "column")]), F.lit(")"))), id_),
     ]
     for field, what in (("qualified_name", "node.qualified_name"), ("schema", "node.schema")):
-        get = lambda r, f=field: r[f]
+        get = _field(field)
         parts.append(_warn(many, F.lit(_RANKED), _messages(_others(rows, get, False), start(what), _quoted(_first_given(rows, get))), own))
     return out, reduce(DataFrame.unionByName, parts)
 
@@ -148,7 +152,7 @@ def merge_edges(frames: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
         _warn(many, F.lit(_RANKED), F.transform(states, lambda s: F.concat(F.lit("Sources disagree on derivation for "), _quoted(F.col("source_id")), F.lit(": "), derivation["status"], F.lit("/"), derivation["confidence"], F.lit(" vs "), s)), F.col("source_id")),
     ]
     for field in ("label", "match_status"):
-        get = lambda r, f=field: r[f]
+        get = _field(field)
         start = F.concat(F.lit(f"Sources disagree on edge.{field} for "), _quoted(pair), F.lit(": "))
         parts.append(_warn(many, F.lit(_RANKED), _messages(_others(rows, get, False), start, _quoted(_first_given(rows, get))), own))
     return out, reduce(DataFrame.unionByName, parts)
