@@ -8,14 +8,15 @@ the tokenizer itself, in batches.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-WORD_CACHE = 300_000
-PART_CACHE = 300_000
+#: A full cache keeps what it has; further words are then encoded for each batch of texts.
+WORD_CACHE = 500_000
+PART_CACHE = 500_000
 #: Texts of these characters only have parts that Python's lower() and this pattern find as the tokenizer does.
 SIMPLE = re.compile(r"[\t-\r -~À-ÖØ-öø-ıĲ-ňŊ-žƀ–—‘’“”…€]*")
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ıĲ-ňŊ-žƀ]+|[0-9]|[^\sa-z0-9ß-öø-ıĲ-ňŊ-žƀ]+")
@@ -45,8 +46,9 @@ class WordTokenizer:
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[str]) -> None:
+    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
         """Many parts in one text: each ends with a token of the form ``...</w>``."""
+        found: dict[str, bytes] = {}
         for at in range(0, len(parts), 2000):
             some = parts[at : at + 2000]
             ids = self._raw([" ".join(some)])[0]
@@ -54,25 +56,29 @@ class WordTokenizer:
             if len(stops) == len(some):
                 raw, begin = ids.tobytes(), 0
                 for part, stop in zip(some, (stops * 2).tolist()):
-                    self.parts[part] = raw[begin:stop]
+                    found[part] = raw[begin:stop]
                     begin = stop
             else:
                 for part, one in zip(some, self._raw(some)):
-                    self.parts[part] = one.tobytes()
+                    found[part] = one.tobytes()
+        return found
 
-    def _encode_words(self, missing: list[str]) -> None:
-        if len(self.words) + len(missing) > WORD_CACHE:
-            self.words = {}
-        if len(self.parts) > PART_CACHE:
-            self.parts = {}
+    def _encode_words(self, missing: list[str]) -> dict[str, bytes]:
         simple = [w for w in missing if SIMPLE.fullmatch(w) and not any(s in w for s in self.special)]
         split = [PARTS.findall(w.lower()) for w in simple]
-        self._encode_parts([p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.parts])
-        for word, parts in zip(simple, split):
-            self.words[word] = b"".join(map(self.parts.__getitem__, parts))
-        odd = list(set(missing).difference(simple))
-        for word, ids in zip(odd, self._raw(odd) if odd else ()):
-            self.words[word] = ids.tobytes()
+        fresh = list(set(chain.from_iterable(split)).difference(self.parts))
+        ids = self._encode_parts(fresh)
+        if len(self.parts) < PART_CACHE:
+            self.parts |= ids
+            ids = self.parts
+        else:
+            ids |= {p: self.parts[p] for p in set(chain.from_iterable(split)).intersection(self.parts)}
+        found = {word: b"".join(map(ids.__getitem__, own)) for word, own in zip(simple, split)}
+        odd = list(set(missing).difference(found))
+        found |= {word: ids.tobytes() for word, ids in zip(odd, self._raw(odd) if odd else ())}
+        if len(self.words) < WORD_CACHE:
+            self.words |= found
+        return found
 
     def encode(self, column: pa.Array, most: int = 4_000_000) -> Iterator[np.ndarray]:
         """ids of each text, in order; null is empty."""
@@ -88,11 +94,12 @@ class WordTokenizer:
         yield from self._flush(held)
 
     def _flush(self, held: list[list[str]]) -> Iterator[np.ndarray]:
-        missing = list(set().union(*held).difference(self.words)) if held else []
+        all_words = set().union(*held) if held else set()
+        missing = list(all_words.difference(self.words))
+        known: Mapping[str, bytes] = self.words
         if missing:
-            if len(self.words) + len(missing) > WORD_CACHE:  # a cleared cache lacks known words too
-                self.words = {}
-                missing = list(set().union(*held))
-            self._encode_words(missing)
+            found = self._encode_words(missing)
+            if len(self.words) >= WORD_CACHE:
+                known = {w: self.words[w] for w in all_words.intersection(self.words)} | found
         for words in held:
-            yield np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u2").astype(np.uint32)
+            yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u2").astype(np.uint32)
