@@ -80,6 +80,15 @@ def labelled_examples(n: int = EXAMPLES, seed: int = 11) -> tuple[list[str], lis
     number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     syllables = ["the", "an", "er", "on", "ti", "re", "st", "en", "ha", "ou", "ne", "lo", "mi", "ka", "zu", "ch", "ge", "que", "ió", "é", "ü"]
     word = lambda: "".join(pick(*syllables) for _ in range(rng.integers(1, 5)))
+    letters = "eeeettaaoinshrdlucmfwypvbgkéèüöñßç"
+    free = lambda: "".join(letters[i] for i in rng.integers(0, len(letters), rng.integers(2, 14)))
+
+    def prose() -> str:
+        """A stretch of plain or noisy text without any label."""
+        noise = pick("", "", "", "", "###", "$$$", "%%%", "&&&", "***", "!!", " |")
+        words = [pick(word, free, lambda: pick("at", "on", "an", "dot", "in", "the"))() + noise for _ in range(rng.integers(6, 30))]
+        words = [w.upper() for w in words] if rng.random() < 0.1 else words
+        return "".join(w + pick(" ", " ", " ", " ", ", ", ". ", ".\n") for w in words).capitalize()
 
     def email() -> str:
         user, host, end = word() + pick("", ".", "_", "-") + word(), word(), pick("com", "org", "net", "de", "fr")
@@ -107,6 +116,8 @@ def labelled_examples(n: int = EXAMPLES, seed: int = 11) -> tuple[list[str], lis
     for _ in range(n):
         text, found = "", []
         for _ in range(rng.integers(1, 4)):
+            if rng.random() < 0.35:
+                text += prose()
             words = " ".join(word() for _ in range(rng.integers(2, 9)))
             text += words.capitalize() + pick(" ", " ", ", ", ": ", ".\n")
             if rng.random() < 0.55:
@@ -135,7 +146,7 @@ def plausible(text: str, kind: str) -> bool:
         parts = [p for p in re.split(r"[^0-9A-Fa-f]+", text) if p]
         return len(parts) == 8 if ":" in text else len(parts) == 4 and all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
-        return 14 <= digits <= 19 and luhn(_digits(text))
+        return 14 <= digits <= 19 and luhn(_digits(text)) and not re.search("[^0-9 ./-]", text)
     return 7 <= digits <= 15 and not re.search("[A-Za-z]", text)
 
 

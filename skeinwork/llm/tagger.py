@@ -161,20 +161,30 @@ def emissions(tagger: Tagger, x: np.ndarray, active: np.ndarray) -> np.ndarray:
         # the state is kept doubled: h is (1 + tanh) * tanh
         table, u = _scaled(tagger.inputs[side]), _scaled(tagger.recurrent[side]) * np.float32(0.5)
         w = np.ascontiguousarray(tagger.project[side * HIDDEN : (side + 1) * HIDDEN].T) * np.float32(0.5)
-        h, c = np.zeros((HIDDEN, batch), np.float32), np.zeros((HIDDEN, batch), np.float32)
+        width = 0
         for t in range(steps) if side == 0 else range(steps - 1, -1, -1):
             k = int(active[t])
-            z = u @ h[:, :k]
-            z += np.take(table, x[t, :k], axis=1, mode="clip")
+            if k != width:  # columns begin or end: arrays of the new width, in one piece
+                was = min(k, width)
+                fresh = np.zeros((2, HIDDEN, k), np.float32)
+                if was:
+                    fresh[0, :, :was], fresh[1, :, :was] = h[:, :was], c[:, :was]
+                h, c, width = fresh[0], fresh[1], k
+                z, drive = np.empty((2, 4 * HIDDEN, k), np.float32)
+                score = np.empty((LABELS, k), np.float32)
+            np.take(table, x[t, :k], axis=1, mode="clip", out=drive)
+            np.matmul(u, h, out=z)
+            z += drive
             np.tanh(z, out=z)
             z[: 3 * HIDDEN] += 1
-            cell = c[:, :k]
-            cell *= z[HIDDEN : 2 * HIDDEN]
+            c *= z[HIDDEN : 2 * HIDDEN]
             z[:HIDDEN] *= z[3 * HIDDEN :]
-            cell += z[:HIDDEN]
-            cell *= 0.5
-            np.multiply(np.tanh(cell), z[2 * HIDDEN : 3 * HIDDEN], out=h[:, :k])
-            out[t, :, :k] += w @ h[:, :k]
+            c += z[:HIDDEN]
+            c *= 0.5
+            np.tanh(c, out=h)
+            h *= z[2 * HIDDEN : 3 * HIDDEN]
+            np.matmul(w, h, out=score)
+            out[t, :, :k] += score
     return out
 
 
@@ -217,6 +227,11 @@ def viterbi(tagger: Tagger, e: np.ndarray, active: np.ndarray) -> np.ndarray:
     return labels
 
 
+def _places(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def tag_windows(tagger: Tagger, windows: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
     """Spans (start, end, label, score per character) of every window of character classes."""
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in windows]
@@ -239,9 +254,14 @@ def tag_windows(tagger: Tagger, windows: list[np.ndarray]) -> list[list[tuple[in
             labels[open_, 1:-1] = viterbi(tagger, np.ascontiguousarray(e[:, :, open_]), np.searchsorted(open_, active, "left")).T
         turns = np.flatnonzero(np.diff(labels.reshape(-1).astype(np.int8)) != 0)
         column, step = np.divmod(turns, steps + 2)
-        for (c, a), b in zip(zip(column.tolist()[:-1], step.tolist()[:-1]), step.tolist()[1:]):
-            label = int(labels[c, a + 1])
-            if label and b > a:
-                score = float((e[a:b, label, c] - e[a:b, 0, c]).mean())
-                found[some[c]].append((a, b, label, score))
+        begins = np.flatnonzero(labels[column, step + 1] > 0)
+        if len(begins):
+            c, first, last = column[begins], step[begins], step[begins + 1]
+            label = labels[c, first + 1].astype(np.int64)
+            at = np.repeat(first, last - first) + _places(last - first)
+            many = np.repeat(np.arange(len(begins)), last - first)
+            lead = e[at, label[many], c[many]] - e[at, 0, c[many]]
+            score = np.bincount(many, lead) / (last - first)
+            for k, *span in zip(c.tolist(), first.tolist(), last.tolist(), label.tolist(), score.tolist()):
+                found[some[k]].append(tuple(span))
     return found
