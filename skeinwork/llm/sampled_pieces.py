@@ -151,8 +151,7 @@ class Lattices:
         head = np.searchsorted(self.source, at_all)
         before = np.where(head > 0, total[head - 1], 0.0) if n else np.zeros(0)
         cum = total - before[self.source]
-        tail = np.append(head[1:], len(p)) - 1
-        cum[tail] = 1.0
+        cum[np.append(head[1:], len(p))[:n] - 1] = 1.0
         self.keys = self.source + np.minimum(cum, 1.0)
 
     def sample(self, units: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
