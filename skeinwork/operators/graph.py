@@ -31,6 +31,11 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(g: Graph) -> Graph:
+    """The graph computed once and cut from its lineage, for many queries after it."""
+    return g.with_(nodes=_stored(g.nodes), edges=_stored(g.edges), warnings=_stored(g.warnings))
+
+
 def node(g: Graph, id_: str) -> DataFrame:
     """The node of an id; raises if there is none."""
     found = g.nodes.filter(F.col("id") == id_)

@@ -50,32 +50,41 @@ def _messages(values: Column, start: Column, own: Column) -> Column:
     return F.transform(values, lambda v: F.concat(start, own, F.lit(" vs "), _quoted(v)))
 
 
-def _merged_bindings(rows: Column) -> tuple[Column, Column]:
-    """First binding of each key, and whether one differs from an earlier one of its key."""
-    every = F.flatten(F.filter(F.transform(rows, lambda r: r["bindings"]), lambda b: b.isNotNull()))
-    keys = F.transform(every, binding_key)
-    kept = F.filter(every, lambda b, i: F.array_position(keys, binding_key(b)) == i + 1)
-    clash = F.filter(every, lambda b, i: ~b.eqNullSafe(F.element_at(every, F.array_position(keys, binding_key(b)).cast("int"))))
-    return F.when(F.size(kept) > 0, kept), F.transform(clash, binding_key)
+def _with_parts(g: DataFrame, nodes: bool) -> DataFrame:
+    """Working columns, each computed once: given derivations, and for nodes all bindings and aspects with their keys."""
+    rows = F.col("rows")
+    g = g.withColumn("_derivations", F.filter(F.transform(rows, lambda r: r["derivation"]), lambda d: d.isNotNull()))
+    if not nodes:
+        return g
+    g = g.withColumn("_bindings", F.flatten(F.filter(F.transform(rows, lambda r: r["bindings"]), lambda b: b.isNotNull())))
+    g = g.withColumn("_binding_keys", F.transform("_bindings", binding_key))
+    g = g.withColumn("_aspects", F.flatten(F.transform(F.filter(rows, lambda r: r["aspects"].isNotNull()), lambda r: F.map_entries(r["aspects"]))))
+    return g.withColumn("_aspect_keys", F.transform("_aspects", lambda e: e["key"]))
+
+
+def _merged_bindings() -> tuple[Column, Column]:
+    """First binding of each key, and the keys of those that differ from an earlier one of their key."""
+    place = lambda b: F.array_position("_binding_keys", binding_key(b))
+    kept = F.filter("_bindings", lambda b, i: place(b) == i + 1)
+    clash = F.filter("_bindings", lambda b: ~b.eqNullSafe(F.element_at("_bindings", place(b).cast("int"))))
+    return F.when(F.size("_bindings") > 0, kept), F.transform(clash, binding_key)
 
 
-def _merged_aspects(rows: Column) -> tuple[Column, Column]:
-    entries = F.flatten(F.transform(F.filter(rows, lambda r: r["aspects"].isNotNull()), lambda r: F.map_entries(r["aspects"])))
-    names = F.transform(entries, lambda e: e["key"])
-    kept = F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
-    clash = F.filter(entries, lambda e: e["value"] != F.element_at(entries, F.array_position(names, e["key"]).cast("int"))["value"])
-    return F.when(F.size(kept) > 0, F.map_from_entries(kept)), F.array_distinct(F.transform(clash, lambda e: e["key"]))
+def _merged_aspects() -> tuple[Column, Column]:
+    place = lambda e: F.array_position("_aspect_keys", e["key"])
+    kept = F.filter("_aspects", lambda e, i: place(e) == i + 1)
+    clash = F.filter("_aspects", lambda e: e["value"] != F.element_at("_aspects", place(e).cast("int"))["value"])
+    return F.when(F.size("_aspects") > 0, F.map_from_entries(kept)), F.array_distinct(F.transform(clash, lambda e: e["key"]))
 
 
 def _evidence(rows: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(rows, lambda r: F.coalesce(r["evidence"], F.array()))))
 
 
-def _derivation(rows: Column) -> tuple[Column, Column]:
-    given = F.filter(F.transform(rows, lambda r: r["derivation"]), lambda d: d.isNotNull())
-    first = F.get(given, F.lit(0))
+def _derivation() -> tuple[Column, Column]:
+    first = F.get("_derivations", F.lit(0))
     state = lambda d: F.concat(d["status"], F.lit("/"), d["confidence"])
-    return first, F.array_distinct(F.filter(F.transform(given, state), lambda s: s != state(first)))
+    return first, F.array_distinct(F.filter(F.transform("_derivations", state), lambda s: s != state(first)))
 
 
 def _warn(df: DataFrame, code: Column, message: Column, subject: Column) -> DataFrame:
@@ -94,14 +103,14 @@ def _grouped(frames: list[DataFrame], keys: list[str]) -> DataFrame:
 
 def merge_nodes(frames: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Nodes merged by id, and warnings. Differing kinds of an id raise."""
-    g = _grouped(frames, ["id"])
+    g = _with_parts(_grouped(frames, ["id"]), nodes=True)
     rows, id_ = F.col("rows"), F.col("id")
     kinds = F.array_distinct(F.transform(rows, lambda r: r["kind"]))
     problem = F.concat(F.lit("Conflicting node.kind values for "), _quoted(id_), F.lit(": "), F.array_join(kinds, " != "))
     kind = F.when(F.size(kinds) > 1, F.raise_error(problem)).otherwise(F.get(kinds, F.lit(0)))
-    bindings, drift = _merged_bindings(rows)
-    aspects, clash = _merged_aspects(rows)
-    derivation, states = _derivation(rows)
+    bindings, drift = _merged_bindings()
+    aspects, clash = _merged_aspects()
+    derivation, states = _derivation()
     out = g.select(
         "id",
         kind.cast("string").alias("kind"),
@@ -130,9 +139,9 @@ def merge_nodes(frames: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
 
 def merge_edges(frames: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Edges merged by (kind, source_id, target_id), and warnings."""
-    g = _grouped(frames, ["kind", "source_id", "target_id"])
+    g = _with_parts(_grouped(frames, ["kind", "source_id", "target_id"]), nodes=False)
     rows = F.col("rows")
-    derivation, states = _derivation(rows)
+    derivation, states = _derivation()
     out = g.select(
         "kind",
         "source_id",

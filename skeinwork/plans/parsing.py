@@ -37,10 +37,8 @@ class Tree:
             todo += reversed(at.every())
 
     def every(self) -> list["Tree"]:
-        out = list(self.children)
-        for value in self.parts.values():
-            out += [v for v in (value if isinstance(value, list) else [value]) if isinstance(v, Tree)]
-        return out
+        parts = [v for value in self.parts.values() for v in (value if isinstance(value, list) else [value]) if isinstance(v, Tree)]
+        return parts + self.children
 
 
 @contextmanager
@@ -85,7 +83,7 @@ def parse(spark: SparkSession, sql: str, dialect: str = "") -> Tree:
             plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
             return _plan(plan, text)
         except (Py4JJavaError, PySparkException) as e:
-            raise GraphError(f"can't parse: {str(e).splitlines()[0]}") from e
+            raise GraphError(f"can't parse: {' '.join(str(e).split())[:200]}") from e
 
 
 def _name(x: Any) -> str:

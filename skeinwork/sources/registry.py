@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.operators.checks import contract_problems, enforce_checks, link_contracts
+from skeinwork.operators.graph import stored
 from skeinwork.operators.match import attach_bindings
 from skeinwork.operators.merge import merge
 from skeinwork.operators.policy import enforce_floor
@@ -45,10 +46,12 @@ def compile_graph(spark: SparkSession, project: Project, enforce: bool = True) -
     if not parts:
         raise GraphError("a project needs a source")
     g = merge(*parts.values()) if len(parts) > 1 else next(iter(parts.values()))
+    g = stored(g)
     if "warehouse" in parts and len(parts) > 1:
         g = attach_bindings(g, parts["warehouse"], alias_frame(spark, project.aliases) if project.aliases else None)
     if "intent" in parts:
         g = link_contracts(compile_contracts(spark, g, project.dialect))
+    g = stored(g)
     if enforce:
         enforce_checks(g, project.posture)
         enforce_floor(g)
