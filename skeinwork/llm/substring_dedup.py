@@ -141,9 +141,9 @@ def entries(rows: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
                 [pa.array(h[order].view(np.int64)), pa.array(ch[order].view(np.int64)), pa.array(content, pa.binary()), pa.array(ids[row][order])], names=["h", "ch", "bytes", "id"]
             )
 
+    # an anchor that passed the filter by chance has strings of one text only, which nothing precedes
     found = rows.mapInArrow(run, "h long, ch long, bytes binary, id long")
-    found = found.groupBy("h", "ch").agg(F.min("bytes").alias("bytes"), F.min("id").alias("id"))
-    return found.join(anchors, "h", "left_semi")
+    return found.groupBy("h", "ch").agg(F.min("bytes").alias("bytes"), F.min("id").alias("id"))
 
 
 def run_minima(block: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,10 +181,13 @@ def least_ids(found: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
         entry, least, h = run_minima(rows["bytes"].tolist(), rows["id"].to_numpy(np.int64), length)
         stops = np.cumsum(np.bincount(entry, minlength=len(rows)))[:-1]
         keys = np.split(h.view(np.int64), stops) if rows["cuts"].iloc[0] > 1 else [None] * len(rows)
-        return pd.DataFrame({"h": rows["h"].to_numpy(), "ch": rows["ch"].to_numpy(), "least": np.split(least, stops), "strings": keys})
+        least = np.split(least, stops)
+        if keys[0] is None:  # its own id everywhere: as if it were alone
+            least = [None if (x == own).all() else x for x, own in zip(least, rows["id"])]
+        return pd.DataFrame({"h": rows["h"].to_numpy(), "ch": rows["ch"].to_numpy(), "least": least, "strings": keys})
 
     done = cut(parts.groupBy("h", "cut").applyInPandas(run, "h long, ch long, least array<long>, strings array<long>"), "block-minima")
-    whole = done.filter("strings is null").select("h", "ch", "least")
+    whole = done.filter("strings is null and least is not null").select("h", "ch", "least")
     each = done.filter("strings is not null").select("h", "ch", F.posexplode(F.arrays_zip("least", "strings")).alias("at", "s")).select("h", "ch", "at", "s.least", "s.strings")
     best = each.groupBy("h", "strings").agg(F.min("least").alias("best"))
     again = each.join(best, ["h", "strings"]).groupBy("h", "ch").agg(F.array_sort(F.collect_list(F.struct("at", "best"))).alias("all"))
