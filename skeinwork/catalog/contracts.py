@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.runtime import execute_contract, register_tables
+from skeinwork.plans.parsing import parse
+from skeinwork.plans.values import table_refs
+from skeinwork.runtime import TABLES, execute_contract, register_tables
 from skeinwork.schemas import graph_of
 from skeinwork.sources.registry import compile_contracts
 
@@ -46,7 +48,8 @@ CONTRACTS = {
 
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_tables(spark, sf_dir)
+        needed = table_refs(parse(spark, CONTRACTS[name]))
+        register_tables(spark, sf_dir, tuple(t for t in TABLES if t in needed))
         aspects = {"query": json.dumps({"sql": CONTRACTS[name]})}
         nodes = spark.createDataFrame([(f"query:{name}", "query", name, aspects)], "id string, kind string, name string, aspects map<string,string>")
         g = compile_contracts(spark, graph_of(spark, nodes))
