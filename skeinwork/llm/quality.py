@@ -4,13 +4,16 @@ Fixed cutoffs on shape metrics are replaced by fences per language and source. A
 is a log-bucket quantile sketch: a row per (lang, source, metric, bucket) with a count. Sketches merge
 by adding counts, exactly and in any order, so a lost task that runs again gives the same sketch, and a
 quantile has a relative error of at most (GAMMA - 1) / 2. A (lang, source) with few documents takes the merged
-sketch of its language or of the corpus. The fences are then joined to the documents as filters.
+sketch of its language or of the corpus. Fences rest on lower quantiles, so they stand while less than three
+quarters of a group is junk; and no fence is above that of the group's language, or of the corpus for metrics
+that don't hang on the language, so a source that is mostly or all junk can't set its own. The fences are then
+joined to the documents as filters.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +27,21 @@ from skeinwork.llm.words import WHITE, chunks, lines, range_hashes, texts, windo
 GAMMA = 1.02
 #: A group needs so many documents for fences of its own.
 LEAST = 200
-#: metric -> least distance of the fence from the third quartile; a fence is q75 + REACH * (q75 - q50), or that distance if it is larger.
+#: metric -> least distance of the fence from the first quartile; a fence is q25 + REACH * (q25 - q10), or that distance if it is larger.
 MARGINS = {"symbol_ratio": 0.25, "dup_line_ratio": 0.35, "long_word": 8.0}
 REACH = 8.0
+#: Metrics that mean the same in every language; word length doesn't.
+COMMON = ("symbol_ratio", "dup_line_ratio")
 #: Broadcast the fences only up to so many groups; beyond, the join is shuffled and skew-split.
 BROADCAST_GROUPS = 20_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-STATS = "id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+STATS = "id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
 def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines of each text."""
     n = len(offsets) - 1
     starts, ends, rows = words(data, offsets)
 
@@ -66,6 +71,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     np.add.at(cover, at[twice], 1)
     np.add.at(cover, at[twice] + 5, -1)
     out["n_repeat_words"] = np.bincount(rows[np.cumsum(cover)[: len(rows)] > 0], minlength=n)
+    out["n_lines"] = np.bincount(of, minlength=n)  # without blank ones
     return out
 
 
@@ -88,9 +94,11 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.mapInArrow(_measured, STATS)
 
 
-def _metrics() -> dict[str, Column]:
+def _metrics(columns: list[str]) -> dict[str, Column]:
+    """The metrics of stats with these columns; without n_lines a word counts as a line."""
     n = F.greatest("n_words", F.lit(1))
-    return {"symbol_ratio": F.col("n_symbols") / n, "dup_line_ratio": F.col("n_dup_lines") / n, "long_word": F.col("word_chars") / n}
+    n_lines = F.greatest("n_lines" if "n_lines" in columns else "n_words", F.lit(1))
+    return {"symbol_ratio": F.col("n_symbols") / n, "dup_line_ratio": F.col("n_dup_lines") / n_lines, "long_word": F.col("word_chars") / n}
 
 
 def _bucket(value: Column) -> Column:
@@ -99,7 +107,7 @@ def _bucket(value: Column) -> Column:
 
 def sketches(stats: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket) -> count: the mergeable form."""
-    entries = F.array(*[F.struct(F.lit(m).alias("metric"), _bucket(v).alias("bucket")) for m, v in _metrics().items()])
+    entries = F.array(*[F.struct(F.lit(m).alias("metric"), _bucket(v).alias("bucket")) for m, v in _metrics(stats.columns).items()])
     return stats.select("lang", "source", F.explode(entries).alias("e")).groupBy("lang", "source", "e.metric", "e.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -109,34 +117,47 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """q50 and q75 of each group and metric, with its number of documents. A sketch has a few thousand buckets at most, whatever the input."""
+    """q10, q25, q50 and q75 of each group and metric, with its number of documents. A sketch has a few thousand buckets at most, whatever the input."""
     by = Window.partitionBy(*keys, "metric")
     run = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
     value = F.when(F.col("bucket") <= -(10**6), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")) * (2 / (1 + GAMMA)))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
-    return run.groupBy(*keys, "metric").agg(at(0.5).alias("q50"), at(0.75).alias("q75"), F.max("total").alias("total"))
+    return run.groupBy(*keys, "metric").agg(*[at(q / 100).alias(f"q{q}") for q in (10, 25, 50, 75)], F.max("total").alias("total"))
+
+
+def _fence(q: Callable[[str], Column]) -> Column:
+    margin = F.create_map(*[F.lit(x) for pair in MARGINS.items() for x in pair])[F.col("metric")]
+    return q("q25") + F.greatest(margin, REACH * (q("q25") - q("q10")))
+
+
+def _bounds(sketch: DataFrame, own: DataFrame, *keys: str) -> DataFrame:
+    """Quantiles of coarser groups, and ``bound``: the smaller of the merged fence and the sources' median fence, for which a hot source counts once."""
+    even = own.select(*keys, "metric", _bucket(_fence(F.col)).alias("bucket")).groupBy(*keys, "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    even = quantiles(even, *keys).select(*[F.col(c).alias(f"e_{c}") for c in (*keys, "metric", "q50")])
+    found = quantiles(merged(sketch, *keys), *keys)
+    same = [found[c].eqNullSafe(even[f"e_{c}"]) for c in (*keys, "metric")]
+    return found.join(even, same).select(*keys, "metric", "q10", "q25", "total", F.least(_fence(F.col), "e_q50").alias("bound"))
 
 
 def fences(stats: DataFrame) -> DataFrame:
     """lang, source and a column per metric: the adaptive upper threshold."""
     sketch = cut(sketches(stats), "quality-sketch")
     own = quantiles(sketch, "lang", "source")
-    lang = quantiles(merged(sketch, "lang"), "lang").select("lang", "metric", *[F.col(c).alias(f"l_{c}") for c in ("q50", "q75", "total")])
-    whole = quantiles(merged(sketch)).select("metric", *[F.col(c).alias(f"w_{c}") for c in ("q50", "q75")])
+    lang = _bounds(sketch, own, "lang").select("lang", "metric", *[F.col(c).alias(f"l_{c}") for c in ("q10", "q25", "total", "bound")])
+    whole = _bounds(sketch, own).select("metric", *[F.col(c).alias(f"w_{c}") for c in ("q10", "q25", "bound")])
     same = lambda a, b, *cols: [a[c].eqNullSafe(b[c]) for c in cols]
-    both = own.join(lang, same(own, lang, "lang", "metric"), "left").select(own["*"], "l_q50", "l_q75", "l_total")
+    both = own.join(lang, same(own, lang, "lang", "metric"), "left").select(own["*"], "l_q10", "l_q25", "l_total", "l_bound")
     both = both.join(F.broadcast(whole), "metric", "left")  # one row per metric
     pick = lambda q: F.when(F.col("total") >= LEAST, F.col(q)).when(F.col("l_total") >= LEAST, F.col(f"l_{q}")).otherwise(F.col(f"w_{q}"))
-    margin = F.create_map(*[F.lit(x) for pair in MARGINS.items() for x in pair])[F.col("metric")]
-    fence = pick("q75") + F.greatest(margin, REACH * (pick("q75") - pick("q50")))
+    fence = F.least(_fence(pick), "l_bound", F.when(F.col("metric").isin(*COMMON), F.col("w_bound")))  # least() skips nulls
     return both.groupBy("lang", "source").pivot("metric", list(MARGINS)).agg(F.max(fence))
 
 
-def _rejections(min_words: int, max_repeat_percent: int) -> tuple[Column, Column]:
+def _rejections(columns: list[str], min_words: int, max_repeat_percent: int) -> tuple[Column, Column]:
     """Whether the base rules reject a row, and whether its metrics lie within its group's fences."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     within = F.lit(True)
-    for metric, value in _metrics().items():
+    for metric, value in _metrics(columns).items():
         within &= F.coalesce(value <= F.col(f"f_{metric}"), F.lit(True))
     return failed, within
 
@@ -157,7 +178,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """
     stats = cut(measured(docs, id_col, text_col, lang_col, source_col), "quality-measures")
     found = _with_fences(stats, cut(fences(stats), "quality-fences"))
-    failed, within = _rejections(min_words, max_repeat_percent)
+    failed, within = _rejections(found.columns, min_words, max_repeat_percent)
     return found.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & within).alias("kept"))
 
 
@@ -178,6 +199,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     [some.column("lang"), some.column("source"), some.column("rest"), *(pa.array(v.astype(np.int64)) for v in got.values())], names=["lang", "source", "rest", *got]
                 )
 
-    schema = T.StructType([*rows.drop("text").schema.fields, *[T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]])
-    failed, within = _rejections(min_words, max_repeat_percent)
-    return _with_fences(rows.mapInArrow(run, schema), limits).filter(~failed & within).select("rest.*")
+    schema = T.StructType([*rows.drop("text").schema.fields, *[T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")]])
+    found = _with_fences(rows.mapInArrow(run, schema), limits)
+    failed, within = _rejections(found.columns, min_words, max_repeat_percent)
+    return found.filter(~failed & within).select("rest.*")

@@ -54,6 +54,19 @@ def test_quality_fences_catch_outliers_only(spark):
     assert quality.judged(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [30, 45, 60, 100])
+def test_a_source_full_of_junk_cannot_set_its_own_fence(spark, share):
+    clean = lambda i: "\n".join(" ".join(f"word{i * j % 97}x{j}" for j in range(at, at + 10)) for at in range(0, 40, 10))
+    lines = lambda i: "\n".join([" ".join(f"a{i}b{j}" for j in range(60))] + ["one", "two"] * 4)
+    junk = lambda i: lines(i) if i % 2 else " ".join(f"w{i}x{j}###" for j in range(40))
+    rows = [(i, clean(i), "en", f"s{i % 3}", 7) for i in range(1, 900)]
+    rows += [(1000 + i, junk(i) if i % 100 < share else clean(i), "en", "bad", 7) for i in range(1, 1201)]
+    rows += [(5000 + i, "".join(f"{'z' * 40}{j} " for j in range(12)), "zz", "long", 7) for i in range(300)]  # a language of long words keeps its own
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, DOCS)).collect()}
+    bad = {1000 + i for i in range(1, 1201) if i % 100 < share}
+    assert {i for i, kept in got.items() if not kept} == bad
+
+
 def test_sketches_merge_exactly(spark):
     stats = spark.range(500).selectExpr("id", "'en' lang", "if(id % 2 = 0, 'a', 'b') source", "100L n_words", "id word_chars", "0L n_symbols", "0L n_dup_lines", "0L n_repeat_words")
     both = {tuple(r) for r in quality.merged(quality.sketches(stats), "lang").collect()}
