@@ -11,6 +11,9 @@
    outside the leader's component meet all classes of other components. Pairs inside one component can't change
    the result, so a group of many near copies never emits all its pairs.
 4. A pair is verified once, on the whole sets.
+5. Links are counted, if asked for, inside the components, as no link leaves one: a component's classes are dealt over
+   blocks of bounded size, and a task compares two blocks whole. Pairs are never rows, so a large component costs
+   rows in proportion to its blocks.
 """
 
 from __future__ import annotations
@@ -25,13 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm.components import components
-from skeinwork.llm.shared import cut, plain
+from skeinwork.llm.shared import cut, plain, shuffle_partitions
 from skeinwork.llm.words import chunks, mixed, shingle_sets, texts
 
 SKETCH_BITS = 22
 SKETCH_PARTS = 64
 RANGES = 64
 BLOOM_BITS = 1 << 24
+#: Classes and shingles of a block, about: classes are dealt by hash.
+BLOCK_CLASSES = 512
+BLOCK_SHINGLES = 1 << 20
+#: A shingle goes into the matrix product if its pairs are at least one in so many of the block's.
+DENSE = 50
+ROUND_PAIRS = 1 << 22
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -189,14 +198,8 @@ def verified(docs: DataFrame, width: int, percent: int, pairs: DataFrame) -> Dat
     return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links, its own included).
-
-    Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets. A row without words
-    (null or empty text) has no shingles and links with nothing. Rows that repeat an id should have one text; rows
-    without an id keep a null component unless they link. An empty table gives no rows; other columns are ignored.
-    """
-    rows = plain(docs, id=id_col, text=text_col)
+def _joined(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' profiles, the classes of equal sets, and (node, component) of the classes that link with others."""
     profile = cut(profiles(rows, width), "shingle-profiles")
     found = prefixes(rows, width, percent, frequencies(profile)).filter("n > 0")
     classes = found.groupBy("sig_a", "sig_b", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges"))
@@ -223,11 +226,125 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cross = cut(_suffix_filtered(cross.join(known, ["a", "b"], "left_anti"), reps, percent), "cross-pairs")
     more = cut(verified(rows, width, percent, cross), "cross-links")
     joined = cut(components(links.union(more)), "components")
+    return profile, reps, joined
+
 
+def _per_row(profile: DataFrame, reps: DataFrame, joined: DataFrame) -> DataFrame:
+    """id, n and component_id of every row; what ``reps`` has besides is null for a text that is alone."""
     large = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    large = large.filter("copies > 1 or component_id <> rep").select("sig_a", "sig_b", "n", "component_id")
-    rows_out = profile.filter("part is null").select("id", "n", "sig_a", "sig_b")
-    return rows_out.join(large, ["sig_a", "sig_b", "n"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    large = large.filter("copies > 1 or component is not null").drop("rep", "component", "prefix", "ranges")
+    return profile.filter("part is null").select("id", "n", "sig_a", "sig_b").join(large, ["sig_a", "sig_b", "n"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links, its own included).
+
+    Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets. A row without words
+    (null or empty text) has no shingles and links with nothing. Rows that repeat an id should have one text; rows
+    without an id keep a null component unless they link. An empty table gives no rows; other columns are ignored.
+    """
+    found = _per_row(*_joined(plain(docs, id=id_col, text=text_col), width, percent))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``jaccard_components`` with n_links, the number of other rows that a row links with, equal texts included."""
+    rows = plain(docs, id=id_col, text=text_col)
+    profile, reps, joined = _joined(rows, width, percent)
+    joined = cut(joined, "joined")
+    far = cut(_links_inside(rows, reps, joined, width, percent), "links-inside")
+    found = _per_row(profile, reps.join(far, "rep", "left"), joined)
+    n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("far", F.lit(0)), F.lit(0)).cast("long")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", n_links.alias("n_links"))
+
+
+def _links_inside(rows: DataFrame, reps: DataFrame, joined: DataFrame, width: int, percent: int) -> DataFrame:
+    """(rep, far): how many rows of other classes a class links with."""
+    members = reps.join(joined.withColumnRenamed("node", "rep"), "rep").select("rep", "n", "copies", "component")
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).cast("int")
+    dealt = members.join(members.groupBy("component").agg(blocks.alias("blocks")), "component")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("n")
+    sets = _whole_sets(rows, width, joined.select(F.col("node").alias("a"), F.col("node").alias("b"))).dropDuplicates(["rep"])
+    met = dealt.join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "shingles")
+    met = met.repartition(shuffle_partitions(rows.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("component", "i", "j")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            out = []
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi > lo:
+                    if held and keys[lo].tolist() != key:
+                        out.append(_counted(held, percent))
+                        held = []
+                    key = keys[lo].tolist()
+                    held.append(batch.slice(lo, hi - lo))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["rep", "far"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _counted(held, percent)], names=["rep", "far"])
+
+    return met.mapInArrow(run, "rep long, far long").groupBy("rep").agg(F.sum("far").alias("far"))
+
+
+def _counted(held: list[pa.RecordBatch], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of two blocks (or of one with itself) and how many rows of the other block each links with."""
+    rep, copies, block = (np.concatenate([b.column(c).to_numpy().astype(np.int64) for b in held]) for c in ("rep", "copies", "block"))
+    sizes = np.concatenate([np.diff(b.column("shingles").offsets.to_numpy()) for b in held]).astype(np.int64)
+    tokens = np.concatenate([b.column("shingles").flatten().to_numpy() for b in held])
+    one = held[0].column("i")[0].as_py() == held[0].column("j")[0].as_py()
+    n_a = len(rep) if one else int((block == block[0]).sum())
+    if not one and block[0] == block[-1]:  # the other block is empty
+        return rep, np.zeros(len(rep), np.int64)
+    shared = overlaps(tokens, np.repeat(np.arange(len(rep)), sizes), len(rep), n_a)
+    of_b = slice(0 if one else n_a, None)
+    links = 100 * shared >= percent * (sizes[:n_a, None] + sizes[of_b] - shared)
+    if one:
+        np.fill_diagonal(links, False)
+        return rep, links @ copies
+    return rep, np.concatenate([links @ copies[of_b], copies[:n_a] @ links])
+
+
+def overlaps(tokens: np.ndarray, owners: np.ndarray, n: int, n_a: int) -> np.ndarray:
+    """|intersection| of each of the first ``n_a`` sets with each of the rest, or of all with all if n_a is n.
+
+    Shingles of many pairs go through matrix products, those of few through their lists.
+    """
+    base = 0 if n_a == n else n_a
+    n_b = n - base
+    _, tokens = np.unique(tokens, return_inverse=True)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owners = tokens[order], owners[order]
+    a, b = owners < n_a, owners >= base
+    p, q = (np.bincount(tokens[x], minlength=int(tokens[-1]) + 1 if len(tokens) else 0) for x in (a, b))
+    often, some = p * q * DENSE >= n_a * n_b, (p > 0) & (q > 0)
+    out = np.zeros((n_a, n_b), np.int64)
+    place = np.cumsum(often & some) - 1
+    keep = (often & some)[tokens]
+    at, who = place[tokens[keep]], owners[keep]
+    step = max(2048, ROUND_PAIRS // n)
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, step):
+        x, y = np.searchsorted(at, [lo, lo + step])
+        grid = np.zeros((n, step), np.float32)
+        grid[who[x:y], at[x:y] - lo] = 1
+        out += (grid[:n_a] @ grid[base:].T).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(q)])
+    of_b = owners[b] - base
+    rare = a & (some & ~often)[tokens]
+    row, tok = owners[rare], tokens[rare]
+    upto = np.concatenate([[0], np.cumsum(q[tok])])
+    lo = 0
+    while lo < len(row):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + ROUND_PAIRS, "right")) - 1)
+        many = q[tok[lo:hi]]
+        inner = np.arange(upto[hi] - upto[lo]) - np.repeat(upto[lo:hi] - upto[lo], many)
+        pair = np.repeat(row[lo:hi], many) * n_b + of_b[np.repeat(first[tok[lo:hi]], many) + inner]
+        out += np.bincount(pair, minlength=n_a * n_b).reshape(n_a, n_b)
+        lo = hi
+    return out
 
 
 def _mixed_lists(at: DataFrame) -> DataFrame:

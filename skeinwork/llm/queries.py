@@ -28,6 +28,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_links(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = sharding.shard(_table(spark, sf_dir, "documents"), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op2_ngram_jaccard_links": op2_ngram_jaccard_links,
         "op3_sharding": op3_sharding,
         "op4_quality_rules": op4_quality_rules,
         "op5_sampled_pieces": op5_sampled_pieces,
@@ -152,5 +157,11 @@ FROM s LEFT JOIN (SELECT src, min(dst) AS m FROM r GROUP BY src) c ON c.src = s.
 """
 
 
+def _op2_links_sql() -> str:
+    """OP2_SQL with the number of links of each document."""
+    links = "LEFT JOIN (SELECT x, count(*) AS n_links FROM e GROUP BY x) k ON k.x = s.doc_id "
+    return OP2_SQL.replace("AS component_id\nFROM s ", "AS component_id, coalesce(k.n_links, 0)::BIGINT AS n_links\nFROM s " + links)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL, "op8_url_filters": _op8_sql(), "op10_exact_dedup": OP10_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op2_ngram_jaccard_links": _op2_links_sql(), "op8_url_filters": _op8_sql(), "op10_exact_dedup": OP10_SQL}

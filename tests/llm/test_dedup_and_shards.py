@@ -66,6 +66,30 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     assert got == brute_components(rows, 4, 85) and len({c for _, c in got.values()}) < 12
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_links_are_counted_inside_components(docs, spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block)
+    words = base_words(60).split()
+    rows = corpus() + [(100 + i, " ".join([*words[:i], f"other{i}", *words[i + 1 :]]), "en", "s", 0) for i in range(0, 60, 4)] + [(200 + i, " ".join(words[: 40 + i]), "en", "s", 0) for i in range(20)]
+    rows += [(300 + i, " ".join([*(f"pair{j}" for j in range(50)), f"last{i}"]), "en", "s", 0) for i in range(2)]  # the smallest id has one copy
+    sets = {i: shingles(t, 4) for i, t, *_ in rows}
+    link = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    want = {i: (*found, sum(link(sets[i], sets[j]) for j in sets if j != i)) for i, found in brute_components(rows, 4, 85).items()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_links(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want and max(n for *_, n in want.values()) > 5
+
+
+def test_overlaps_of_blocks():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [set(rng.choice(4000, 300, replace=False).tolist()) | set(range(9000, 9000 + k % 40)) for k in range(70)]
+    tokens, owners = np.array([t for s in sets for t in s]), np.repeat(np.arange(70), [len(s) for s in sets])
+    for n_a in (70, 25):
+        rest = sets if n_a == 70 else sets[n_a:]
+        assert ngram_join.overlaps(tokens, owners, 70, n_a).tolist() == [[len(a & b) for b in rest] for a in sets[:n_a]]
+
+
 def test_exact_dedup(docs):
     groups = defaultdict(list)
     for i, t, *_ in corpus():
