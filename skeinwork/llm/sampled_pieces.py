@@ -1,6 +1,6 @@
 """Sampled SentencePiece segmentations without replacement, and decoding.
 
-A text is a chain of units (a space mark and what follows it); a unit's lattice has an edge for every
+A text is a chain of units (a run of space marks and the word after it, as pieces can hold several marks); a unit's lattice has an edge for every
 piece of the vocabulary, weighted by a Zipf law of the piece's rank, or a chain of bytes for a character
 without a piece. Backward sums over the lattice give every edge its exact probability.
 
@@ -16,6 +16,7 @@ scores: 1 - exp(-exp(log_prob - threshold)). All randomness is a hash of seed, r
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,7 @@ from skeinwork.llm.shared import plain
 from skeinwork.llm.words import mixed
 
 MARK = "▁"
+_UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 CHUNK_CHARS = 3_000_000
 #: A choice whose alternatives have less mass in all is taken as certain.
 CERTAIN = 1e-9
@@ -55,8 +57,9 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         usual = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        usual = [i for i in usual if MARK not in model.id_to_piece(i)[1:]]
         pieces = [model.id_to_piece(i) for i in usual]
+        #: A piece with a mark after something else could cross from one unit to the next; then a text is one unit.
+        self.crossing = any(MARK in p.lstrip(MARK) for p in pieces)
         rank = np.array([min(-model.get_score(i), size) for i in usual])
         norm = np.log(np.log(size))
         weight = -np.log(rank + 3) - norm
@@ -73,6 +76,10 @@ class Vocabulary:
         self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         self.byte_weight = float(-np.log(size + 3.0) - norm)
 
+    def units(self, text: str) -> list[str]:
+        """The text with marks for spaces and one before it, cut where no piece can cross."""
+        marked = MARK + text.replace(" ", MARK) if text else ""
+        return [marked] if self.crossing and marked else _UNIT.findall(marked)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are pieces, and where those are."""
@@ -269,7 +276,7 @@ def segmentations(rows: list[tuple[int, str]], v: Vocabulary, k: int, seed: int)
     index: dict[str, int] = {}
     searches = []
     for key, text in rows:
-        units = [MARK + u for u in text.replace(" ", MARK).split(MARK)] if text else []
+        units = v.units(text)
         own = np.array([index.setdefault(u, len(index)) for u in units], np.int64)
         searches.append(_Search(own, int(mixed(np.array([(key * 0x9E3779B97F4A7C15 + seed) % 2**64], np.uint64))[0]), k))
     lattices = Lattices(list(index), v)

@@ -215,6 +215,29 @@ def test_segmentations(spark):
     assert sampled_pieces.sampled(df.limit(0), PIECES).count() == 0
 
 
+def test_usual_segmentations_with_runs_of_spaces_are_in_the_lattice():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    v = sampled_pieces.vocabulary(PIECES)
+    assert v.longest >= 16
+    for text in ("a   b", "    x", "x  ", "  ", "a\n    b", "a" + " " * 6 + "b"):
+        (found,) = sampled_pieces.segmentations([(1, text)], v, 600, 3)
+        assert tuple(model.encode(text)) in {tuple(ids.tolist()) for ids, *_ in found}, text
+        assert sum(math.exp(log_p) for _, log_p, *_ in found) == pytest.approx(1)
+        assert all(sampled_pieces.decode(ids.tolist(), PIECES) == text for ids, *_ in found)
+    code = "def f():\n    return 1\n\tif x:  #" + " " * 40 + "end"
+    lattice, at, places = sampled_pieces.Lattices(v.units(code), v), 0, {}
+    for source, target, piece in zip(lattice.source.tolist(), lattice.target.tolist(), lattice.piece.tolist()):
+        places[source, piece] = target
+    for i in model.encode(code):
+        if not model.is_byte(i):
+            at = places[at, i]
+        else:  # a byte of a character without a piece
+            at = places[at, -1 - ord((" " + code)[at])]
+    assert at == len(code) + 1
+
+
 def test_sampling_without_replacement_has_the_right_law():
     v = sampled_pieces.vocabulary(PIECES)
     n, first, second, probability = 3000, {}, {}, {}
