@@ -42,7 +42,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled_pieces.sampled(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), k=2, with_ids=False)
+    """Every sample with its ids, and the CRC of the text that they decode to."""
+    return sampled_pieces.sampled(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_text_crc32=True)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

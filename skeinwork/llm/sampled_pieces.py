@@ -24,6 +24,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinwork.llm.shared import plain
 from skeinwork.llm.words import mixed
@@ -33,6 +35,8 @@ _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 CHUNK_CHARS = 3_000_000
 #: A choice whose alternatives have less mass in all is taken as certain.
 CERTAIN = 1e-9
+#: Rows that are handed on at once.
+OUT_ROWS = 256
 _TOP_BITS = 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -319,37 +323,70 @@ def segmentations(rows: list[tuple[int, str]], v: Vocabulary, k: int, seed: int)
             total = float(path.log_p.sum())
             score = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(min(total - threshold, 50.0))))
             out.append((lattices.ids(path.edges), total, path.value, score))
+        s.paths, s.heap, s.node = [], [], None  # a long batch's paths go as its rows do
         yield out
 
 
+@lru_cache(maxsize=2)
+def _model(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 def decode(ids: list[int], path: str) -> str:
     """The text of ids, by the model itself."""
-    import sentencepiece
+    return _model(path).decode(ids)
+
+
+def decoded(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """The rows with the text of their ids as ``text_col``, by the model itself.
+
+    Null ids give null, no ids an empty text, a null inside ids is left out; an id outside the vocabulary fails the
+    job. A column ``text_col`` of ``rows`` is replaced; an empty table gives no rows.
+    """
+    rest = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != text_col])
+    schema = T.StructType([*rest.schema.fields, T.StructField(text_col, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(model_file)
+        for whole in batches:
+            for at in range(0, len(whole), OUT_ROWS):
+                batch = whole.slice(at, OUT_ROWS)
+                found = [None if not ids.is_valid else model.decode([i for i in ids.as_py() if i is not None]) for ids in batch.column(ids_col)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, text_col])
 
-    return sentencepiece.SentencePieceProcessor(model_file=path).decode(ids)
+    return rest.mapInArrow(run, schema)
 
 
-def sampled(docs: DataFrame, model_file: str, k: int = 4, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Up to k rows per input row: id, sample (from 0), n_pieces, ids_crc32, log_prob, perturbed, inclusion and, if asked for, ids.
+def sampled(docs: DataFrame, model_file: str, k: int = 4, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text_crc32: bool = False) -> DataFrame:
+    """Up to k rows per input row: id, sample (from 0), n_pieces, ids_crc32, log_prob, perturbed, inclusion and, if asked for, ids
+    and text_crc32, the CRC of the text that the model decodes the ids to.
 
     The samples of a row are distinct and ordered by ``perturbed``; a row with fewer segmentations gives them
     all with an inclusion of 1 each. Null and empty texts give one sample without pieces. Rows that repeat a key
     and text give the same samples; a null key counts as 0 for the seed; an empty table gives no rows; other
     columns are ignored.
     """
-    names = ["id", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion", "ids"][: 7 + with_ids]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
+    names = ["id", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion", *["ids"] * with_ids, *["text_crc32"] * with_text_crc32]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), *[pa.list_(pa.int32())] * with_ids, *[pa.int64()] * with_text_crc32]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file)
 
-        def emit(held: list[tuple[int | None, str]]) -> pa.RecordBatch:
+        def emit(held: list[tuple[int | None, str]]) -> Iterator[pa.RecordBatch]:
             out: list[list] = [[] for _ in names]
             for (key, _), found in zip(held, segmentations([(key or 0, text) for key, text in held], v, k, seed)):
                 for sample, (ids, log_p, value, score) in enumerate(found):
-                    for column, x in zip(out, (key, sample, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log_p, value, score, ids)):
+                    more = [ids] * with_ids
+                    if with_text_crc32:
+                        more.append(zlib.crc32(decode(ids.tolist(), model_file).encode()))
+                    for column, x in zip(out, (key, sample, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log_p, value, score, *more)):
                         column.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+                if len(out[0]) >= OUT_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+                    out = [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
         held, size = [], 0
         for batch in batches:
@@ -357,10 +394,10 @@ def sampled(docs: DataFrame, model_file: str, k: int = 4, seed: int = 0, id_col:
                 held.append((key, text.as_py() or ""))
                 size += len(held[-1][1])
                 if size > CHUNK_CHARS:
-                    yield emit(held)
+                    yield from emit(held)
                     held, size = [], 0
         if held:
-            yield emit(held)
+            yield from emit(held)
 
-    schema = "id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double" + ", ids array<int>" * with_ids
+    schema = "id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double" + ", ids array<int>" * with_ids + ", text_crc32 long" * with_text_crc32
     return plain(docs, id=id_col, text=text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)

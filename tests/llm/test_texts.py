@@ -215,6 +215,19 @@ def test_segmentations(spark):
     assert sampled_pieces.sampled(df.limit(0), PIECES).count() == 0
 
 
+def test_rows_of_ids_decode_to_their_texts(spark, tmp_path):
+    from skeinwork.llm import queries
+
+    rows = [(1, "def f():\n    return  1 ☃ 日本"), (2, None), (3, ""), (4, " plain words "), (5, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_sampled_pieces(spark, str(tmp_path)).collect()
+    assert all(r.text_crc32 == zlib.crc32((dict(rows)[r.doc_id] or "").encode()) and len(r.ids) == r.n_pieces for r in got)
+    assert {i: sum(r.doc_id == i for r in got) for i in (1, 2, 3, 4)} == {1: 4, 2: 1, 3: 1, 4: 4}
+    df = spark.createDataFrame([(1, None, "old"), (2, [], "old"), (3, sampled_pieces._model(PIECES).encode("hello  there"), "old")], "n int, ids array<int>, text string")
+    assert {r.n: r.text for r in sampled_pieces.decoded(df, PIECES).collect()} == {1: None, 2: "", 3: "hello  there"}
+    assert sampled_pieces.decoded(df.limit(0), PIECES).count() == 0
+
+
 def test_usual_segmentations_with_runs_of_spaces_are_in_the_lattice():
     import sentencepiece
 
