@@ -68,7 +68,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         names = ["id", "n", "sig_a", "sig_b", "part", "counts"]
         for ids, found, at in _sets(batches, width):
-            counts += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32) if len(found) > 1 << 20 else _scattered(found)
+            np.add.at(counts, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             a, b = _signatures(found, at)
             none = len(ids)
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(at).astype(np.int64)), pa.array(a), pa.array(b), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
@@ -80,12 +80,6 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, sig_a long, sig_b long, part int, counts binary")
 
 
-def _scattered(found: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << SKETCH_BITS, np.uint32)
-    np.add.at(out, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-    return out
-
-
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:

@@ -2,13 +2,15 @@
 
 A string of ``length`` bytes belongs to the rarest-hash k-gram inside it (its anchor), which equal
 strings share; strings in a row that share an anchor form a segment. Only anchors that occur in two
-or more different texts matter. Segments of equal anchor and bytes are one entry with the smallest id.
-The entries of an anchor form a block; its suffix array (linear grouping) brings equal strings
-together, and each gets the smallest id of its run. Blocks with very many entries are cut by content, and the
-equal strings of their parts are merged by a hash join. The ids then go back to the segments.
-
-Bloom filters of fixed size spare shuffling segments that surely have no partner; where they are full, the
-joins decide.
+or more different texts matter. Segments of equal anchor and bytes are one entry with its smallest and
+largest id. The entries of an anchor form a block. Its suffix array (linear grouping, many blocks at
+once) brings equal strings together; neighbours are compared byte by byte, and each string gets the
+smallest id of its run. A block is dealt over as many parts as its entries need: each string goes to
+the part that its bytes name, so equal strings meet whatever the number of parts; an anchor of few
+entries has one part. The ids then go back to the segments.
+
+Bloom filters spare shuffling segments that surely have no partner. Their size follows the number of
+keys up to MOST_BITS; where they are full, the joins decide.
 """
 
 from __future__ import annotations
@@ -17,20 +19,26 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm.shared import cut, plain
-from skeinwork.llm.suffix_array import suffix_array
+from skeinwork.llm.suffix_array import suffix_arrays
 from skeinwork.llm.words import chunks, mixed, range_hashes, texts
 
 LENGTH = 50
-ANCHOR = 12
-BLOCK = 2048
+ANCHOR = 20
+#: Entries of a part of a block, about.
+BLOCK = 512
 PIECE = 8_000_000
-BLOOM_BITS = 1 << 26
+#: Bytes of texts whose segments are made distinct before they are handed on.
+ROUND = 4_000_000
+#: Bytes whose suffixes are ordered at once.
+ORDER = 1_000_000
+BITS_A_KEY = 10
+MOST_BITS = 1 << 30
+_BITS_PART = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -81,141 +89,254 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
                 yield ids[a:b], sigs[a:b], data[lo:hi], offsets[a : b + 1] - lo, 0
 
 
-def _first_of(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """An order by the keys (last one first) and which of its rows begin a run of equal keys, except for keys[0]."""
-    order = np.lexsort(keys)
+def _rounds(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """id, sig, anchor hash, content hash, first start, number of starts and bytes of the segments of some texts."""
+    held: list[tuple[np.ndarray, ...]] = []
+    raws: list[bytes] = []
+    size = 0
+    for ids, sigs, data, offsets, at in _pieces(batches, length):
+        row, first, last, h, ch = segments(data, offsets, length)
+        held.append((ids[row], sigs[row], h.view(np.int64), ch.view(np.int64), first - offsets[row] + at, last - first + 1, first + size))
+        raws.append(data.tobytes())
+        size += len(data)
+        if size >= ROUND:
+            yield (*(np.concatenate(c) for c in zip(*held)), b"".join(raws))
+            held, raws, size = [], [], 0
+    if held:
+        yield (*(np.concatenate(c) for c in zip(*held)), b"".join(raws))
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by the keys (the first one counts first), and where a run of equal keys begins and ends in it."""
+    order = np.lexsort(keys[::-1])
     fresh = np.zeros(len(order), bool)
     fresh[:1] = True
-    for key in keys[1:]:
+    for key in keys:
         k = key[order]
         fresh[1:] |= k[1:] != k[:-1]
-    return order, fresh
+    begin = np.flatnonzero(fresh)
+    return order, begin, np.append(begin[1:], len(order))[: len(begin)]
 
 
 def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
     """h: hashes of anchors that occur in two or more different texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sigs, data, offsets, _at in _pieces(batches, length):
-            row, _, _, h, _ = segments(data, offsets, length)
-            order, fresh = _first_of([sigs[row], h])
-            begin = np.flatnonzero(fresh)
-            end = np.append(begin[1:], len(order))[: len(begin)] - 1
-            sig = sigs[row][order]
-            h = h[order][begin].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(sig[begin]), pa.array(sig[end])], names=["h", "low", "high"])
+        for _, sig, h, *_rest in _rounds(batches, length):
+            order, begin, end = _runs(h)
+            if len(order):
+                low, high = np.minimum.reduceat(sig[order], begin), np.maximum.reduceat(sig[order], begin)
+                yield pa.RecordBatch.from_arrays([pa.array(h[order][begin]), pa.array(low), pa.array(high, mask=low == high)], names=["h", "low", "high"])
 
     found = rows.mapInArrow(run, "h long, low long, high long")
-    return found.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("h")
+    found = found.groupBy("h").agg(F.min("low").alias("low"), F.max("low").alias("top"), F.max("high").alias("high"))
+    return found.filter("low <> top or high is not null").select("h")
 
 
-def bloom(keys: DataFrame, key: Column) -> np.ndarray:
-    """A Bloom filter of a fixed number of bits over a long column."""
-    bit = F.pmod(key, F.lit(BLOOM_BITS))
-    words = keys.select(F.floor(bit / 64).cast("int").alias("word"), (bit % 64).cast("int").alias("at"))
-    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")).toPandas()
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out
+def bloom(keys: DataFrame, key: Column) -> tuple[int, np.ndarray]:
+    """The number of bits and the words of a Bloom filter over a long column; its size follows the number of rows up to MOST_BITS."""
+    bits = _BITS_PART
+    while bits < min(BITS_A_KEY * keys.count(), MOST_BITS):
+        bits *= 2
+    bit = F.pmod(key, F.lit(bits))
 
-
-def _in_bloom(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = np.mod(keys, BLOOM_BITS)
-    return (bits[at // 64] >> (at % 64)) & 1 == 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, at = (batch.column(c).to_numpy() for c in ("part", "at"))
+            for p in np.unique(part).tolist():
+                words = held.setdefault(p, np.zeros(_BITS_PART // 64, np.int64))
+                own = at[part == p].astype(np.int64)
+                np.bitwise_or.at(words, own // 64, np.left_shift(np.int64(1), own % 64))
+        for p, words in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([words.tobytes()], pa.binary())], names=["part", "words"])
+
+    dealt = keys.select(F.floor(bit / _BITS_PART).cast("int").alias("part"), (bit % _BITS_PART).cast("int").alias("at"))
+    dealt = dealt.repartition(bits // _BITS_PART, "part").mapInArrow(run, "part int, words binary")
+    out = np.zeros((bits // _BITS_PART, _BITS_PART // 64), np.int64)
+    for r in dealt.toLocalIterator():
+        out[r["part"]] |= np.frombuffer(r["words"], np.int64)
+    return bits, out.reshape(-1)
+
+
+def _in_bloom(found: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    bits, words = found
+    at = keys & (bits - 1)
+    return (words[at // 64] >> (at % 64)) & 1 == 1
 
 
 def entries(rows: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
-    """h, ch, bytes, id: the different segments at shared anchors, with the smallest id."""
+    """h, ch, bytes, own, top: the different segments at shared anchors, with the smallest and the largest id."""
     shared = rows.sparkSession.sparkContext.broadcast(bloom(anchors, F.col("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, data, offsets, _at in _pieces(batches, length):
-            row, first, last, h, ch = segments(data, offsets, length)
-            keep = np.flatnonzero(_in_bloom(shared.value, h.view(np.int64)))
-            row, first, last, h, ch = (x[keep] for x in (row, first, last, h, ch))
-            order, fresh = _first_of([ids[row], ch, h])
-            order = order[fresh]
-            raw = data.tobytes()
-            content = [raw[a:b] for a, b in zip(first[order].tolist(), (last[order] + length).tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[order].view(np.int64)), pa.array(ch[order].view(np.int64)), pa.array(content, pa.binary()), pa.array(ids[row][order])], names=["h", "ch", "bytes", "id"]
-            )
+        for ids, _, h, ch, _first, n, at, raw in _rounds(batches, length):
+            keep = np.flatnonzero(_in_bloom(shared.value, h))
+            ids, h, ch, n, at = (x[keep] for x in (ids, h, ch, n, at))
+            order, begin, end = _runs(h, ch)
+            if not len(order):
+                continue
+            one = order[begin]
+            own, top = np.minimum.reduceat(ids[order], begin), np.maximum.reduceat(ids[order], begin)
+            content = [raw[a:b] for a, b in zip(at[one].tolist(), (at[one] + n[one] - 1 + length).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array(ch[one]), pa.array(content, pa.binary()), pa.array(own), pa.array(top)], names=["h", "ch", "bytes", "own", "top"])
 
     # an anchor that passed the filter by chance has strings of one text only, which nothing precedes
-    found = rows.mapInArrow(run, "h long, ch long, bytes binary, id long")
-    return found.groupBy("h", "ch").agg(F.min("bytes").alias("bytes"), F.min("id").alias("id"))
+    found = rows.mapInArrow(run, "h long, ch long, bytes binary, own long, top long")
+    return found.groupBy("h", "ch").agg(F.first("bytes").alias("bytes"), F.min("own").alias("own"), F.max("top").alias("top"))
 
 
-def run_minima(block: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entry, least id and hash of every string of a block, in order of entry and start: by the block's suffix array."""
-    sizes = np.array([len(x) for x in block])
-    data = np.frombuffer(b"".join(block), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    entry = np.repeat(np.arange(len(block)), sizes)
-    symbols = np.zeros(len(data) + len(block), np.int64)  # a 0 ends each entry
+def _dealt(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Entries cut into the pieces whose strings belong to one part: h, part, ch, at (the first string), own, bytes."""
+    for batch in batches:
+        h, ch, own, parts = (batch.column(c).to_numpy().astype(np.int64) for c in ("h", "ch", "own", "parts"))
+        column = batch.column("bytes").cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        n = np.diff(offsets) - length + 1
+        entry = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+        start = offsets[entry] + at
+        part = (range_hashes(data, start, start + length) % parts[entry].astype(np.uint64)).astype(np.int64)
+        fresh = np.ones(len(entry), bool)
+        fresh[1:] = (entry[1:] != entry[:-1]) | (part[1:] != part[:-1])
+        begin = np.flatnonzero(fresh)
+        stop = start[np.append(begin[1:], len(entry)) - 1] + length
+        raw, of = data.tobytes(), entry[begin]
+        content = [raw[a:b] for a, b in zip(start[begin].tolist(), stop.tolist())]
+        columns = [pa.array(x) for x in (h[of], part[begin], ch[of], at[begin], own[of])]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary())], names=["h", "part", "ch", "at", "own", "bytes"])
+
+
+def run_minima(data: np.ndarray, sizes: np.ndarray, block: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
+    """For every place of the entries' bytes, the smallest ``own`` of the entries of its block that have the string there; else -1.
+
+    Entries (``sizes`` bytes each) stand one after the other and those of a block together. Strings are compared
+    with their neighbours in the block's suffix array only.
+    """
+    entry = np.repeat(np.arange(len(sizes)), sizes)
+    symbols = np.zeros(len(data) + len(sizes), np.int16)  # a 0 ends each entry
     where = np.arange(len(data)) + entry
-    symbols[where] = data.astype(np.int64) + 1
+    symbols[where] = data.astype(np.int16) + 1
     back = np.full(len(symbols), -1)
     back[where] = np.arange(len(data))
-    ranked = back[suffix_array(symbols)]
+    of_blocks = np.bincount(block, weights=sizes + 1).astype(np.int64)
+    ranked = back[suffix_arrays(symbols, np.concatenate([[0], np.cumsum(of_blocks)]))]
+    ends = np.cumsum(sizes)
     ranked = ranked[ranked >= 0]
-    ranked = ranked[ranked + length <= offsets[entry[ranked] + 1]]
-    h = range_hashes(data, ranked, ranked + length)
+    ranked = ranked[ranked + length <= ends[entry[ranked]]]
+    least = np.full(len(data), -1)
+    if not len(ranked):
+        return least
+    eight = data.astype(np.uint64)  # eight bytes from each place
+    for step in (1, 2, 4):
+        eight = (eight[:-step] << np.uint64(8 * step)) | eight[step:]
+    of = block[entry[ranked]]
     fresh = np.ones(len(ranked), bool)
-    fresh[1:] = h[1:] != h[:-1]
+    fresh[1:] = of[1:] != of[:-1]
+    for at in [*range(0, length - 8, 8), length - 8]:
+        here = eight[ranked + at]
+        fresh[1:] |= here[1:] != here[:-1]
     begin = np.flatnonzero(fresh)
-    least = np.repeat(np.minimum.reduceat(ids[entry[ranked]], begin), np.diff(np.append(begin, len(ranked))))
-    order = np.argsort(ranked)
-    return entry[ranked][order], least[order], h[order]
+    found = np.minimum.reduceat(own[entry[ranked]], begin)
+    least[ranked] = np.repeat(found, np.diff(np.append(begin, len(ranked))))
+    return least
+
+
+def _ordered(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """h, ch, at, least: of pieces in order of (h, part), those with a string that an earlier id has."""
+
+    def done(held: pa.RecordBatch) -> pa.RecordBatch:
+        h, part, ch, at, own = (held.column(c).to_numpy().astype(np.int64) for c in ("h", "part", "ch", "at", "own"))
+        content = held.column("bytes").to_pylist()
+        size = np.array([len(x) for x in content], np.int64)
+        block = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]) | (part[1:] != part[:-1])])).astype(np.int64)
+        many = np.bincount(block)
+        keep = np.flatnonzero(many[block] > 1)  # a piece that is alone has nothing to be compared with
+        # blocks of like size together: each step of the ordering then has work in most of them
+        total = np.bincount(block, weights=size)
+        keep = keep[np.lexsort((block[keep], total[block[keep]]))]
+        rows, least_of = [], []
+        upto = np.cumsum(size[keep])
+        lo = 0
+        while lo < len(keep):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + ORDER)))
+            while hi < len(keep) and block[keep[hi]] == block[keep[hi - 1]]:
+                hi += 1
+            some = keep[lo:hi]
+            data = np.frombuffer(b"".join([content[i] for i in some.tolist()]), np.uint8)
+            _, local = np.unique(np.cumsum(np.concatenate([[0], block[some][1:] != block[some][:-1]])), return_inverse=True)
+            least = run_minima(data, size[some], local, own[some], length)
+            first = np.cumsum(size[some]) - size[some]
+            mine = np.repeat(own[some], size[some])
+            earlier = np.add.reduceat(((least >= 0) & (least < mine)).astype(np.int64), first) > 0
+            for k in np.flatnonzero(earlier).tolist():
+                rows.append(int(some[k]))
+                least_of.append(least[first[k] : first[k] + size[some][k] - length + 1])
+            lo = hi
+        rows = np.array(rows, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(h[rows]), pa.array(ch[rows]), pa.array(at[rows]), pa.array(least_of, pa.list_(pa.int64()))], names=["h", "ch", "at", "least"])
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for at in range(0, len(batch), 4096):
+            some = batch.slice(at, 4096)
+            held.append(some)
+            size += some.nbytes
+        if size > 16 * ORDER:  # all but the last block, which may go on
+            whole = pa.concat_batches(held)
+            h, part = (whole.column(c).to_numpy() for c in ("h", "part"))
+            edge = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1]))
+            if len(edge):
+                yield done(whole.slice(0, int(edge[-1]) + 1))
+                whole = whole.slice(int(edge[-1]) + 1)
+            held, size = [whole], whole.nbytes
+    if held:
+        yield done(pa.concat_batches(held))
 
 
 def least_ids(found: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
-    """h, ch, least: for each entry, the smallest id at which each of its strings occurs, in order of start."""
-    many = found.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.max("id").alias("top"))
-    cuts = F.ceil(F.col("many") / block).cast("int")
-    # an anchor with one entry has nothing to compare
-    parts = found.join(many.filter("many > 1").select("h", cuts.alias("cuts")), "h").withColumn("cut", F.pmod(F.xxhash64("ch"), F.col("cuts")).cast("int"))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ch")
-        entry, least, h = run_minima(rows["bytes"].tolist(), rows["id"].to_numpy(np.int64), length)
-        stops = np.cumsum(np.bincount(entry, minlength=len(rows)))[:-1]
-        keys = np.split(h.view(np.int64), stops) if rows["cuts"].iloc[0] > 1 else [None] * len(rows)
-        least = np.split(least, stops)
-        if keys[0] is None:  # its own id everywhere: as if it were alone
-            least = [None if (x == own).all() else x for x, own in zip(least, rows["id"])]
-        return pd.DataFrame({"h": rows["h"].to_numpy(), "ch": rows["ch"].to_numpy(), "least": least, "strings": keys})
-
-    done = cut(parts.groupBy("h", "cut").applyInPandas(run, "h long, ch long, least array<long>, strings array<long>"), "block-minima")
-    whole = done.filter("strings is null and least is not null").select("h", "ch", "least")
-    each = done.filter("strings is not null").select("h", "ch", F.posexplode(F.arrays_zip("least", "strings")).alias("at", "s")).select("h", "ch", "at", "s.least", "s.strings")
-    best = each.groupBy("h", "strings").agg(F.min("least").alias("best"))
-    again = each.join(best, ["h", "strings"]).groupBy("h", "ch").agg(F.array_sort(F.collect_list(F.struct("at", "best"))).alias("all"))
-    return whole.unionByName(again.select("h", "ch", F.transform("all", lambda x: x["best"]).alias("least")))
+    """h, ch, at, least: the smallest id at which each string of an entry occurs, from string ``at`` on; only where one is below the entry's own."""
+    many = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "blocks")
+    shared = found.sparkSession.sparkContext.broadcast(bloom(many, F.col("h")))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = _in_bloom(shared.value, batch.column("h").to_numpy())
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    some = found.select("h", "ch", "own", "bytes").mapInArrow(wanted, "h long, ch long, own long, bytes binary")
+    large = many.select("h", F.ceil(F.col("many") / block).cast("long").alias("parts")).filter("parts > 1")
+    some = some.join(large, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    pieces = some.mapInArrow(lambda batches: _dealt(batches, length), "h long, part long, ch long, at long, own long, bytes binary")
+    blocks = pieces.repartition("h", "part").sortWithinPartitions("h", "part")
+    return blocks.mapInArrow(lambda batches: _ordered(batches, length), "h long, ch long, at long, least array<long>")
 
 
 def covered(rows: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     """id, sig, lo, hi: byte ranges covered by strings that also start in a document with a smaller id."""
     found = cut(entries(rows, anchors, length), "segments")
-    minima = least_ids(found, length)
-    same = found.select("h", "ch", F.col("id").alias("own"))
-    minima = cut(same.join(minima, ["h", "ch"], "left").select("h", "ch", "own", "least"), "segment-minima")
+    # of an entry, all strings or, from ``at`` on, those with an earlier id
+    whole = found.filter("own < top").select("h", "ch", F.lit(0).cast("long").alias("at"), "own", F.lit(None).cast("array<long>").alias("least"))
+    part = least_ids(found, length).select("h", "ch", "at", F.lit(None).cast("long").alias("own"), "least")
+    minima = cut(whole.unionByName(part), "segment-minima")
     shared = rows.sparkSession.sparkContext.broadcast(bloom(minima, F.expr("h ^ ch")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sigs, data, offsets, at in _pieces(batches, length):
-            row, first, last, h, ch = segments(data, offsets, length)
-            keep = np.flatnonzero(_in_bloom(shared.value, (h ^ ch).view(np.int64)))
-            row, first, last, h, ch = (x[keep] for x in (row, first, last, h, ch))
-            columns = [ids[row], sigs[row], first - offsets[row] + at, last - first + 1, h.view(np.int64), ch.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["id", "sig", "first", "n", "h", "ch"])
+        for ids, sigs, h, ch, first, n, _at, _raw in _rounds(batches, length):
+            keep = np.flatnonzero(_in_bloom(shared.value, h ^ ch))
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (ids, sigs, first, n, h, ch)], names=["id", "sig", "first", "n", "h", "ch"])
 
     placed = rows.mapInArrow(run, "id long, sig long, first long, n long, h long, ch long").join(minima, ["h", "ch"])
-    earlier = F.when(F.col("least").isNull(), F.array_repeat(F.col("own") < F.col("id"), F.col("n").cast("int"))).otherwise(F.transform("least", lambda m: m < F.col("id")))
-    placed = placed.select("id", "sig", "first", "n", earlier.alias("hit")).filter(F.array_contains("hit", True))
-    lo = F.col("first") + F.array_position("hit", True) - 1
-    hi = F.col("first") + F.col("n") - F.array_position(F.reverse("hit"), True) + length
-    return placed.select("id", "sig", lo.alias("lo"), hi.alias("hi"))
+    hit = F.transform("least", lambda m: m < F.col("id"))
+    placed = placed.select("id", "sig", F.col("first") + F.col("at"), "n", "own", hit.alias("hit")).toDF("id", "sig", "first", "n", "own", "hit")
+    placed = placed.filter("own < id or array_contains(hit, true)")
+    lo = F.when(F.col("hit").isNull(), F.col("first")).otherwise(F.col("first") + F.array_position("hit", True) - 1)
+    hi = F.when(F.col("hit").isNull(), F.col("first") + F.col("n") - 1).otherwise(F.col("first") + F.size("hit") - F.array_position(F.reverse("hit"), True))
+    return placed.select("id", "sig", lo.alias("lo"), (hi + length).alias("hi"))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
