@@ -34,12 +34,13 @@ def _remove(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; removed when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path, schema = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # shuffle files of steps that ended go when their plans do
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def plain(df: DataFrame, **columns: str) -> DataFrame:

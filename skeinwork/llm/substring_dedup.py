@@ -1,15 +1,17 @@
 """Removal of repeated byte strings across documents with suffix arrays.
 
 A string of ``length`` bytes belongs to the rarest-hash k-gram inside it (its anchor), which equal
-strings share; strings in a row that share an anchor form a segment. Only anchors that occur in two
-or more different texts matter. Segments of equal anchor and bytes are one entry with its smallest and
-largest id. The entries of an anchor form a block. Its suffix array (linear grouping, many blocks at
-once) brings equal strings together; neighbours are compared byte by byte, and each string gets the
-smallest id of its run. A block is dealt over as many parts as its entries need: each string goes to
-the part that its bytes name, so equal strings meet whatever the number of parts; an anchor of few
-entries has one part. The ids then go back to the segments.
-
-Bloom filters spare shuffling segments that surely have no partner. Their size follows the number of
+strings share; strings in a row that share an anchor form a segment. Segments of equal anchor and bytes
+are one entry. Hashes of all segments, without their bytes, meet by anchor: an entry that several ids
+have is repeated as a whole, and an anchor with several entries is a block. Only the segments of blocks
+are then read with their bytes. A block is dealt over as many parts as its entries need: each string
+goes to the part that its bytes name, so equal strings meet whatever the number of parts; a block of few
+entries has one part. Strings whose hash nothing else in the part has are certainly alone and left out.
+The rest's suffix array (linear grouping, many parts at once) brings equal strings together; neighbours
+are compared byte by byte, and each string gets the smallest id of its run. The ids then go back to the
+segments. Only the first of equal texts takes part, as the others lose all their bytes.
+
+Bloom filters spare reading and shuffling what surely has no partner. Their size follows the number of
 keys up to MOST_BITS; where they are full, the joins decide.
 """
 
@@ -36,6 +38,10 @@ PIECE = 8_000_000
 ROUND = 4_000_000
 #: Bytes whose suffixes are ordered at once.
 ORDER = 1_000_000
+#: Bytes of pieces that a task holds, besides its last part.
+HELD = 48_000_000
+#: Segments of a part of the hashes, about.
+PART_SEGMENTS = 1_000_000
 BITS_A_KEY = 10
 MOST_BITS = 1 << 30
 _BITS_PART = 1 << 20
@@ -73,9 +79,10 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return row[first], first, last, grams[anchor[begin]], range_hashes(data, first, last + length)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
-    """Whole texts in chunks; a text longer than PIECE in overlapping pieces, so that every string lies in one."""
-    for batch in batches:
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, firsts: tuple[int, np.ndarray]) -> Iterator[tuple]:
+    """Whole texts of first copies in chunks; a text longer than PIECE in overlapping pieces, so that every string lies in one."""
+    for whole in batches:
+        batch = whole.filter(pa.array(_in_bloom(firsts, whole.column("key").to_numpy())))
         data, offsets = texts(batch.column("text"))
         ids = batch.column("id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
         sigs = batch.column("sig").to_numpy(zero_copy_only=False)
@@ -89,14 +96,14 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
                 yield ids[a:b], sigs[a:b], data[lo:hi], offsets[a : b + 1] - lo, 0
 
 
-def _rounds(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """id, sig, anchor hash, content hash, first start, number of starts and bytes of the segments of some texts."""
+def _rounds(batches: Iterator[pa.RecordBatch], length: int, firsts: tuple[int, np.ndarray], shift: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """id, sig, anchor (its hash without ``shift`` low bits), content hash, first start, number of starts, place and bytes of the segments of some texts."""
     held: list[tuple[np.ndarray, ...]] = []
     raws: list[bytes] = []
     size = 0
-    for ids, sigs, data, offsets, at in _pieces(batches, length):
+    for ids, sigs, data, offsets, at in _pieces(batches, length, firsts):
         row, first, last, h, ch = segments(data, offsets, length)
-        held.append((ids[row], sigs[row], h.view(np.int64), ch.view(np.int64), first - offsets[row] + at, last - first + 1, first + size))
+        held.append((ids[row], sigs[row], (h >> np.uint64(shift)).view(np.int64), ch.view(np.int64), first - offsets[row] + at, last - first + 1, first + size))
         raws.append(data.tobytes())
         size += len(data)
         if size >= ROUND:
@@ -118,21 +125,6 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, begin, np.append(begin[1:], len(order))[: len(begin)]
 
 
-def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
-    """h: hashes of anchors that occur in two or more different texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sig, h, *_rest in _rounds(batches, length):
-            order, begin, end = _runs(h)
-            if len(order):
-                low, high = np.minimum.reduceat(sig[order], begin), np.maximum.reduceat(sig[order], begin)
-                yield pa.RecordBatch.from_arrays([pa.array(h[order][begin]), pa.array(low), pa.array(high, mask=low == high)], names=["h", "low", "high"])
-
-    found = rows.mapInArrow(run, "h long, low long, high long")
-    found = found.groupBy("h").agg(F.min("low").alias("low"), F.max("low").alias("top"), F.max("high").alias("high"))
-    return found.filter("low <> top or high is not null").select("h")
-
-
 def bloom(keys: DataFrame, key: Column) -> tuple[int, np.ndarray]:
     """The number of bits and the words of a Bloom filter over a long column; its size follows the number of rows up to MOST_BITS."""
     bits = _BITS_PART
@@ -165,58 +157,137 @@ def _in_bloom(found: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return (words[at // 64] >> (at % 64)) & 1 == 1
 
 
-def entries(rows: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
-    """h, ch, bytes, own, top: the different segments at shared anchors, with the smallest and the largest id."""
-    shared = rows.sparkSession.sparkContext.broadcast(bloom(anchors, F.col("h")))
+def met(rows: DataFrame, firsts: tuple[int, np.ndarray], length: int, part_bits: int) -> DataFrame:
+    """h, ch, own: an entry that several ids have, with the smallest. h, many (ch null): a block with its number of entries.
+
+    Hashes go as sorted arrays, one a task, round and part, so that a row of the shuffle holds thousands of them.
+    """
+    spread = rows.sparkSession.sparkContext.broadcast(firsts)
+    shift = 32 - part_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, h, ch, _first, n, at, raw in _rounds(batches, length):
+        for ids, _, h, ch, *_rest in _rounds(batches, length, spread.value, shift):
+            order, begin, _ = _runs(h, ch)
+            if not len(order):
+                continue
+            own, top = np.minimum.reduceat(ids[order], begin), np.maximum.reduceat(ids[order], begin)
+            h, ch = h[order][begin], ch[order][begin]
+            two = own < top
+            h, ch, ids_of = np.concatenate([h, h[two]]), np.concatenate([ch, ch[two]]), np.concatenate([own, top[two]])
+            order = np.argsort(h, kind="stable")
+            h, ch, ids_of = h[order], ch[order], ids_of[order]
+            part = h >> 32
+            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            stop = np.append(edge[1:], len(part)).tolist()
+            low = h.astype(np.uint32)
+            blobs = [low[a:b].tobytes() + ch[a:b].tobytes() + ids_of[a:b].tobytes() for a, b in zip(edge.tolist(), stop)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[edge].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "hashes"])
+
+    def merged(part: int, blobs: list[bytes]) -> pa.RecordBatch:
+        counts = [len(x) // 20 for x in blobs]
+        h = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(blobs, counts)])
+        ch = np.concatenate([np.frombuffer(x, np.int64, n, 4 * n) for x, n in zip(blobs, counts)])
+        ids = np.concatenate([np.frombuffer(x, np.int64, n, 12 * n) for x, n in zip(blobs, counts)])
+        order, begin, _ = _runs(h, ch)
+        own, top = np.minimum.reduceat(ids[order], begin), np.maximum.reduceat(ids[order], begin)
+        h, ch = h[order][begin], ch[order][begin]
+        whole = own < top
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        many = np.diff(np.append(first, len(h)))
+        blocks = (many > 1) & (np.minimum.reduceat(own, first) < np.maximum.reduceat(top, first))
+        names = np.concatenate([h[whole], h[first][blocks]]).astype(np.int64) + (part << 32)
+        n_whole, n_blocks = int(whole.sum()), int(blocks.sum())
+        either = np.concatenate([np.zeros(n_whole, bool), np.ones(n_blocks, bool)])
+        pad = np.zeros(n_blocks, np.int64)
+        columns = [pa.array(np.concatenate([ch[whole], pad]), mask=either), pa.array(np.concatenate([own[whole], pad]), mask=either)]
+        return pa.RecordBatch.from_arrays([pa.array(names), *columns, pa.array(np.concatenate([np.zeros(n_whole, np.int64), many[blocks]]), mask=~either)], names=["h", "ch", "own", "many"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("hashes")):
+                if part != at and held:
+                    yield merged(at, held)
+                    held = []
+                at = part
+                held.append(blob.as_py())
+        if held:
+            yield merged(at, held)
+
+    dealt = rows.mapInArrow(run, "part int, hashes binary").repartition(1 << part_bits, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(parts, "h long, ch long, own long, many long")
+
+
+def pieces(rows: DataFrame, blocks: DataFrame, firsts: tuple[int, np.ndarray], length: int, part_bits: int, block: int = BLOCK) -> DataFrame:
+    """h, part, ch, at, own, bytes: the entries of blocks, cut where their strings belong to different parts."""
+    context = rows.sparkSession.sparkContext
+    spread, shared = context.broadcast(firsts), context.broadcast(bloom(blocks, F.col("h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, h, ch, _first, n, at, raw in _rounds(batches, length, spread.value, 32 - part_bits):
             keep = np.flatnonzero(_in_bloom(shared.value, h))
             ids, h, ch, n, at = (x[keep] for x in (ids, h, ch, n, at))
-            order, begin, end = _runs(h, ch)
+            order, begin, _ = _runs(h, ch)
             if not len(order):
                 continue
             one = order[begin]
-            own, top = np.minimum.reduceat(ids[order], begin), np.maximum.reduceat(ids[order], begin)
+            own = np.minimum.reduceat(ids[order], begin)
             content = [raw[a:b] for a, b in zip(at[one].tolist(), (at[one] + n[one] - 1 + length).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array(ch[one]), pa.array(content, pa.binary()), pa.array(own), pa.array(top)], names=["h", "ch", "bytes", "own", "top"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array(ch[one]), pa.array(own), pa.array(content, pa.binary())], names=["h", "ch", "own", "bytes"])
+
+    # an anchor that passed the filter by chance has strings that nothing precedes
+    large = blocks.select("h", F.ceil(F.col("many") / block).cast("long").alias("parts")).filter("parts > 1")
+    some = rows.mapInArrow(run, "h long, ch long, own long, bytes binary").join(large, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return some.mapInArrow(lambda batches: _dealt(batches, length), "h long, part long, ch long, at long, own long, bytes binary")
 
-    # an anchor that passed the filter by chance has strings of one text only, which nothing precedes
-    found = rows.mapInArrow(run, "h long, ch long, bytes binary, own long, top long")
-    return found.groupBy("h", "ch").agg(F.first("bytes").alias("bytes"), F.min("own").alias("own"), F.max("top").alias("top"))
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(raw) else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def _cut_out(data: np.ndarray, entry: np.ndarray, start: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, list[bytes]]:
+    """Maximal runs of strings in a row of equal entry and key: their first strings' indexes, and the runs' bytes."""
+    fresh = np.ones(len(entry), bool)
+    fresh[1:] = (entry[1:] != entry[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)
+    begin = np.flatnonzero(fresh)
+    stop = start[np.append(begin[1:], len(entry))[: len(begin)] - 1] + length
+    raw = data.tobytes()
+    return begin, [raw[a:b] for a, b in zip(start[begin].tolist(), stop.tolist())]
+
+
+def _strings(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entry, number in it and start of every string."""
+    n = np.diff(offsets) - length + 1
+    entry = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+    return entry, at, offsets[entry] + at
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Entries cut into the pieces whose strings belong to one part: h, part, ch, at (the first string), own, bytes."""
+    """Entries cut into the pieces whose strings belong to one part."""
     for batch in batches:
         h, ch, own, parts = (batch.column(c).to_numpy().astype(np.int64) for c in ("h", "ch", "own", "parts"))
-        column = batch.column("bytes").cast(pa.large_binary())
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        n = np.diff(offsets) - length + 1
-        entry = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
-        start = offsets[entry] + at
+        data, offsets = _bytes_of(batch.column("bytes"))
+        entry, at, start = _strings(offsets, length)
         part = (range_hashes(data, start, start + length) % parts[entry].astype(np.uint64)).astype(np.int64)
-        fresh = np.ones(len(entry), bool)
-        fresh[1:] = (entry[1:] != entry[:-1]) | (part[1:] != part[:-1])
-        begin = np.flatnonzero(fresh)
-        stop = start[np.append(begin[1:], len(entry)) - 1] + length
-        raw, of = data.tobytes(), entry[begin]
-        content = [raw[a:b] for a, b in zip(start[begin].tolist(), stop.tolist())]
+        begin, content = _cut_out(data, entry, start, part, length)
+        of = entry[begin]
         columns = [pa.array(x) for x in (h[of], part[begin], ch[of], at[begin], own[of])]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary())], names=["h", "part", "ch", "at", "own", "bytes"])
 
 
 def run_minima(data: np.ndarray, sizes: np.ndarray, block: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
-    """For every place of the entries' bytes, the smallest ``own`` of the entries of its block that have the string there; else -1.
+    """For every place of the pieces' bytes, the smallest ``own`` of the pieces of its block that have the string there; else -1.
 
-    Entries (``sizes`` bytes each) stand one after the other and those of a block together. Strings are compared
+    Pieces (``sizes`` bytes each) stand one after the other and those of a block together. Strings are compared
     with their neighbours in the block's suffix array only.
     """
     entry = np.repeat(np.arange(len(sizes)), sizes)
-    symbols = np.zeros(len(data) + len(sizes), np.int16)  # a 0 ends each entry
+    symbols = np.zeros(len(data) + len(sizes), np.int16)  # a 0 ends each piece
     where = np.arange(len(data)) + entry
     symbols[where] = data.astype(np.int16) + 1
     back = np.full(len(symbols), -1)
@@ -244,95 +315,102 @@ def run_minima(data: np.ndarray, sizes: np.ndarray, block: np.ndarray, own: np.n
     return least
 
 
-def _ordered(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """h, ch, at, least: of pieces in order of (h, part), those with a string that an earlier id has."""
-
-    def done(held: pa.RecordBatch) -> pa.RecordBatch:
-        h, part, ch, at, own = (held.column(c).to_numpy().astype(np.int64) for c in ("h", "part", "ch", "at", "own"))
-        content = held.column("bytes").to_pylist()
-        size = np.array([len(x) for x in content], np.int64)
-        block = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]) | (part[1:] != part[:-1])])).astype(np.int64)
-        many = np.bincount(block)
-        keep = np.flatnonzero(many[block] > 1)  # a piece that is alone has nothing to be compared with
-        # blocks of like size together: each step of the ordering then has work in most of them
-        total = np.bincount(block, weights=size)
-        keep = keep[np.lexsort((block[keep], total[block[keep]]))]
-        rows, least_of = [], []
-        upto = np.cumsum(size[keep])
-        lo = 0
-        while lo < len(keep):
-            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + ORDER)))
-            while hi < len(keep) and block[keep[hi]] == block[keep[hi - 1]]:
-                hi += 1
-            some = keep[lo:hi]
-            data = np.frombuffer(b"".join([content[i] for i in some.tolist()]), np.uint8)
-            _, local = np.unique(np.cumsum(np.concatenate([[0], block[some][1:] != block[some][:-1]])), return_inverse=True)
-            least = run_minima(data, size[some], local, own[some], length)
-            first = np.cumsum(size[some]) - size[some]
-            mine = np.repeat(own[some], size[some])
-            earlier = np.add.reduceat(((least >= 0) & (least < mine)).astype(np.int64), first) > 0
-            for k in np.flatnonzero(earlier).tolist():
-                rows.append(int(some[k]))
-                least_of.append(least[first[k] : first[k] + size[some][k] - length + 1])
-            lo = hi
-        rows = np.array(rows, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(h[rows]), pa.array(ch[rows]), pa.array(at[rows]), pa.array(least_of, pa.list_(pa.int64()))], names=["h", "ch", "at", "least"])
-
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        for at in range(0, len(batch), 4096):
-            some = batch.slice(at, 4096)
-            held.append(some)
-            size += some.nbytes
-        if size > 16 * ORDER:  # all but the last block, which may go on
-            whole = pa.concat_batches(held)
-            h, part = (whole.column(c).to_numpy() for c in ("h", "part"))
-            edge = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1]))
-            if len(edge):
-                yield done(whole.slice(0, int(edge[-1]) + 1))
-                whole = whole.slice(int(edge[-1]) + 1)
-            held, size = [whole], whole.nbytes
-    if held:
-        yield done(pa.concat_batches(held))
-
-
-def least_ids(found: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
+def _numbered(*keys: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each run of equal keys."""
+    fresh = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        fresh[1:] |= k[1:] != k[:-1]
+    return np.cumsum(fresh)
+
+
+def _least(held: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """h, ch, at, least of the pieces of whole parts, which stand together."""
+    h, part, ch, at, own = (held.column(c).to_numpy().astype(np.int64) for c in ("h", "part", "ch", "at", "own"))
+    block = _numbered(h, part)
+    # one piece of those that several tasks have
+    order, begin, _ = _runs(block, ch, at)
+    one, own = order[begin], np.minimum.reduceat(own[order], begin)
+    held, h, ch, at, block = held.take(pa.array(one)), h[one], ch[one], at[one], block[one]
+    # strings that something else in the part may equal: the others' hashes show that they are alone
+    data, offsets = _bytes_of(held.column("bytes"))
+    entry, nth, start = _strings(offsets, length)
+    hashes, of = range_hashes(data, start, start + length), block[entry]
+    order, begin, end = _runs(of, hashes)
+    shared = np.repeat(np.minimum.reduceat(own[entry[order]], begin) < np.maximum.reduceat(own[entry[order]], begin), end - begin) if len(order) else np.zeros(0, bool)
+    keep = np.sort(order[shared])
+    entry, nth, start = entry[keep], nth[keep], start[keep]
+    first, content = _cut_out(data, entry, start, np.zeros(len(entry), np.int64), length)
+    of, nth, size = entry[first], nth[first], np.array([len(x) for x in content], np.int64)
+    # equal pieces of a block are one, with the smallest id
+    index: dict[tuple[int, bytes], int] = {}
+    piece = np.array([index.setdefault(key, len(index)) for key in zip(block[of].tolist(), content)], np.int64)
+    content, block, size = [c for _, c in index], np.array([b for b, _ in index], np.int64), np.array([len(c) for _, c in index], np.int64)
+    smallest = np.full(len(index), _NO_ID)
+    np.minimum.at(smallest, piece, own[of])
+    # parts of like size together: each step of the ordering then has work in most of them
+    total = np.bincount(block, weights=size, minlength=1)
+    order = np.lexsort((block, total[block])) if len(block) else np.zeros(0, np.int64)
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(index)
+    upto, lo = np.cumsum(size[order]), 0
+    while lo < len(order):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + ORDER)))
+        while hi < len(order) and block[order[hi]] == block[order[hi - 1]]:
+            hi += 1
+        some = order[lo:hi]
+        least = run_minima(np.frombuffer(b"".join([content[i] for i in some.tolist()]), np.uint8), size[some], _numbered(block[some]), smallest[some], length)
+        places = np.cumsum(size[some]) - size[some]
+        for i, a in zip(some.tolist(), places.tolist()):
+            found[i] = least[a : a + len(content[i]) - length + 1]
+        lo = hi
+    earliest = np.array([x.min() for x in found], np.int64)
+    rows = np.flatnonzero(earliest[piece] < own[of]) if len(piece) else piece
+    columns = [pa.array(h[of][rows]), pa.array(ch[of][rows]), pa.array((at[of] + nth)[rows]), pa.array([found[i] for i in piece[rows].tolist()], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["h", "ch", "at", "least"])
+
+
+def least_ids(dealt: DataFrame, length: int) -> DataFrame:
     """h, ch, at, least: the smallest id at which each string of an entry occurs, from string ``at`` on; only where one is below the entry's own."""
-    many = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "blocks")
-    shared = found.sparkSession.sparkContext.broadcast(bloom(many, F.col("h")))
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            keep = _in_bloom(shared.value, batch.column("h").to_numpy())
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-
-    some = found.select("h", "ch", "own", "bytes").mapInArrow(wanted, "h long, ch long, own long, bytes binary")
-    large = many.select("h", F.ceil(F.col("many") / block).cast("long").alias("parts")).filter("parts > 1")
-    some = some.join(large, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    pieces = some.mapInArrow(lambda batches: _dealt(batches, length), "h long, part long, ch long, at long, own long, bytes binary")
-    blocks = pieces.repartition("h", "part").sortWithinPartitions("h", "part")
-    return blocks.mapInArrow(lambda batches: _ordered(batches, length), "h long, ch long, at long, least array<long>")
-
-
-def covered(rows: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
+            held.append(batch)
+            size += batch.nbytes
+            if size > HELD:  # all but the last part, which may go on
+                whole = pa.concat_batches(held)
+                h, part = (whole.column(c).to_numpy() for c in ("h", "part"))
+                edge = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1]))
+                if len(edge):
+                    yield _least(whole.slice(0, int(edge[-1]) + 1), length)
+                    whole = whole.slice(int(edge[-1]) + 1)
+                held, size = [whole], whole.nbytes
+        if held:
+            yield _least(pa.concat_batches(held), length)
+
+    blocks = dealt.repartition("h", "part").sortWithinPartitions("h", "part")
+    return blocks.mapInArrow(run, "h long, ch long, at long, least array<long>")
+
+
+def covered(rows: DataFrame, firsts: tuple[int, np.ndarray], length: int, part_bits: int) -> DataFrame:
     """id, sig, lo, hi: byte ranges covered by strings that also start in a document with a smaller id."""
-    found = cut(entries(rows, anchors, length), "segments")
+    found = cut(met(rows, firsts, length, part_bits), "segments")
     # of an entry, all strings or, from ``at`` on, those with an earlier id
-    whole = found.filter("own < top").select("h", "ch", F.lit(0).cast("long").alias("at"), "own", F.lit(None).cast("array<long>").alias("least"))
-    part = least_ids(found, length).select("h", "ch", "at", F.lit(None).cast("long").alias("own"), "least")
-    minima = cut(whole.unionByName(part), "segment-minima")
-    shared = rows.sparkSession.sparkContext.broadcast(bloom(minima, F.expr("h ^ ch")))
+    whole = found.filter("ch is not null").select("h", "ch", F.lit(0).cast("long").alias("at"), "own", F.lit(None).cast("array<long>").alias("least"))
+    dealt = pieces(rows, found.filter("ch is null").select("h", "many"), firsts, length, part_bits)
+    part = cut(least_ids(dealt, length), "least-ids").select("h", "ch", "at", F.lit(None).cast("long").alias("own"), "least")
+    minima = whole.unionByName(part)
+    context = rows.sparkSession.sparkContext
+    spread, shared = context.broadcast(firsts), context.broadcast(bloom(minima, F.expr("h ^ ch")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sigs, h, ch, first, n, _at, _raw in _rounds(batches, length):
+        for ids, sigs, h, ch, first, n, _at, _raw in _rounds(batches, length, spread.value, 32 - part_bits):
             keep = np.flatnonzero(_in_bloom(shared.value, h ^ ch))
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (ids, sigs, first, n, h, ch)], names=["id", "sig", "first", "n", "h", "ch"])
 
     placed = rows.mapInArrow(run, "id long, sig long, first long, n long, h long, ch long").join(minima, ["h", "ch"])
     hit = F.transform("least", lambda m: m < F.col("id"))
-    placed = placed.select("id", "sig", F.col("first") + F.col("at"), "n", "own", hit.alias("hit")).toDF("id", "sig", "first", "n", "own", "hit")
+    placed = placed.select("id", "sig", (F.col("first") + F.col("at")).alias("first"), "n", "own", hit.alias("hit"))
     placed = placed.filter("own < id or array_contains(hit, true)")
     lo = F.when(F.col("hit").isNull(), F.col("first")).otherwise(F.col("first") + F.array_position("hit", True) - 1)
     hi = F.when(F.col("hit").isNull(), F.col("first") + F.col("n") - 1).otherwise(F.col("first") + F.size("hit") - F.array_position(F.reverse("hit"), True))
@@ -367,16 +445,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and don't cover each other; an empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = plain(docs, id=id_col, text=text_col).select("id", text.alias("text"), F.xxhash64(text).alias("sig"))
+    key = F.coalesce("id", F.lit(_NO_ID))
+    rows = plain(docs, id=id_col, text=text_col).select("id", text.alias("text"), F.xxhash64(text).alias("sig")).withColumn("key", F.xxhash64(key, "sig"))
     base = cut(rows.select("id", "sig", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "text-digests")
-    anchors = cut(shared_anchors(rows, length), "shared-anchors")
-    spans = covered(rows, anchors, length).groupBy("id", "sig").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    copies = cut(base.groupBy("sha", "n_bytes").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("many"), F.min("sig").alias("sig")), "text-classes")
+    firsts = bloom(copies, F.xxhash64("least", "sig"))
+    # a segment has about nine bytes that no other of its text has
+    n_segments = (copies.agg(F.sum("n_bytes")).first()[0] or 0) / 9
+    part_bits = min(31, max(4, int(n_segments / PART_SEGMENTS).bit_length()))
+    spans = covered(rows, firsts, length, part_bits).groupBy("id", "sig").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = cut(spans, "covered-ranges")
-    key = F.coalesce("id", F.lit(_NO_ID))
     touched = rows.withColumn("id", key).join(spans, ["id", "sig"]).dropDuplicates(["id", "sig"])
     cutout = touched.mapInArrow(_removed, "id long, sig long, n_removed long, n_spans long, kept_sha256 string")
     # of equal texts only the smallest id keeps its bytes, whatever else they share
-    copies = base.groupBy("sha", "n_bytes").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many")
+    copies = copies.filter("many > 1").select("sha", "n_bytes", "least")
     found = base.withColumn("key", key).join(copies, ["sha", "n_bytes"], "left")
     found = found.join(cutout.withColumnRenamed("id", "key"), ["key", "sig"], "left")
     copy = (F.col("least") < F.col("key")) & (F.col("n_bytes") >= length)

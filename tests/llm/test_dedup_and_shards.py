@@ -124,7 +124,7 @@ def test_repeated_strings(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for piece in (substring_dedup.PIECE, 100):
         monkeypatch.setattr(substring_dedup, "PIECE", piece)
-        monkeypatch.setattr("skeinwork.llm.substring_dedup.least_ids.__defaults__", (2,))
+        monkeypatch.setattr("skeinwork.llm.substring_dedup.pieces.__defaults__", (2,))
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.without_repeats(df).collect()}
         assert got == want
 
