@@ -37,13 +37,15 @@ PIECE = 8_000_000
 #: Bytes of texts whose segments are made distinct before they are handed on.
 ROUND = 4_000_000
 #: Bytes whose suffixes are ordered at once.
-ORDER = 1_000_000
+ORDER = 500_000
 #: Bytes of pieces that a task holds, besides its last part.
-HELD = 48_000_000
+HELD = 12_000_000
 #: Segments of a part of the hashes, about.
 PART_SEGMENTS = 1_000_000
 BITS_A_KEY = 10
 MOST_BITS = 1 << 30
+#: Blocks of several parts are broadcast up to this number; beyond, the join is shuffled.
+BROADCAST_BLOCKS = 200_000
 _BITS_PART = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
 
@@ -237,6 +239,7 @@ def pieces(rows: DataFrame, blocks: DataFrame, firsts: tuple[int, np.ndarray], l
 
     # an anchor that passed the filter by chance has strings that nothing precedes
     large = blocks.select("h", F.ceil(F.col("many") / block).cast("long").alias("parts")).filter("parts > 1")
+    large = F.broadcast(large) if large.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS else large
     some = rows.mapInArrow(run, "h long, ch long, own long, bytes binary").join(large, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     return some.mapInArrow(lambda batches: _dealt(batches, length), "h long, part long, ch long, at long, own long, bytes binary")
 
