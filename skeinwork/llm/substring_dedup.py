@@ -33,9 +33,9 @@ LENGTH = 50
 ANCHOR = 20
 #: Entries of a part of a block, about.
 BLOCK = 512
-PIECE = 8_000_000
+PIECE = 1_000_000
 #: Bytes of texts whose segments are made distinct before they are handed on.
-ROUND = 4_000_000
+ROUND = 2_000_000
 #: Bytes whose suffixes are ordered at once.
 ORDER = 500_000
 #: Bytes of pieces that a task holds, besides its last part.
@@ -44,8 +44,10 @@ HELD = 12_000_000
 PART_SEGMENTS = 1_000_000
 BITS_A_KEY = 10
 MOST_BITS = 1 << 30
-#: Blocks of several parts are broadcast up to this number; beyond, the join is shuffled.
-BROADCAST_BLOCKS = 200_000
+#: Cells of the table of parts; anchors that share a cell take the larger number of parts.
+CELLS = 1 << 20
+#: Rows that are handled at once.
+ROWS = 2000
 _BITS_PART = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
 
@@ -83,7 +85,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, firsts: tuple[int, np.ndarray]) -> Iterator[tuple]:
     """Whole texts of first copies in chunks; a text longer than PIECE in overlapping pieces, so that every string lies in one."""
-    for whole in batches:
+    for whole in (batch.slice(at, ROWS) for batch in batches for at in range(0, len(batch), ROWS)):
         batch = whole.filter(pa.array(_in_bloom(firsts, whole.column("key").to_numpy())))
         data, offsets = texts(batch.column("text"))
         ids = batch.column("id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
@@ -220,10 +222,20 @@ def met(rows: DataFrame, firsts: tuple[int, np.ndarray], length: int, part_bits:
     return dealt.mapInArrow(parts, "h long, ch long, own long, many long")
 
 
+def parts_of(blocks: DataFrame, block: int) -> np.ndarray:
+    """Of each cell of anchors, the largest power of two of parts that a block needs; CELLS bytes, whatever the input."""
+    power = F.ceil(F.log2(F.col("many") / block)).cast("int")
+    large = blocks.filter(F.col("many") > block).select(F.pmod("h", F.lit(CELLS)).cast("int").alias("cell"), power.alias("power"))
+    out = np.zeros(CELLS, np.uint8)
+    for r in large.groupBy("cell").agg(F.max("power").alias("power")).toLocalIterator():
+        out[r["cell"]] = r["power"]
+    return out
+
+
 def pieces(rows: DataFrame, blocks: DataFrame, firsts: tuple[int, np.ndarray], length: int, part_bits: int, block: int = BLOCK) -> DataFrame:
     """h, part, ch, at, own, bytes: the entries of blocks, cut where their strings belong to different parts."""
     context = rows.sparkSession.sparkContext
-    spread, shared = context.broadcast(firsts), context.broadcast(bloom(blocks, F.col("h")))
+    spread, shared, powers = context.broadcast(firsts), context.broadcast(bloom(blocks, F.col("h"))), context.broadcast(parts_of(blocks, block))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, h, ch, _first, n, at, raw in _rounds(batches, length, spread.value, 32 - part_bits):
@@ -234,14 +246,20 @@ def pieces(rows: DataFrame, blocks: DataFrame, firsts: tuple[int, np.ndarray], l
                 continue
             one = order[begin]
             own = np.minimum.reduceat(ids[order], begin)
-            content = [raw[a:b] for a, b in zip(at[one].tolist(), (at[one] + n[one] - 1 + length).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array(ch[one]), pa.array(own), pa.array(content, pa.binary())], names=["h", "ch", "own", "bytes"])
+            h, ch, n, at = h[one], ch[one], n[one], at[one]
+            entry = np.repeat(np.arange(len(n)), n)
+            nth = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+            start = at[entry] + nth
+            data = np.frombuffer(raw, np.uint8)
+            mask = (np.uint64(1) << powers.value[h & (CELLS - 1)].astype(np.uint64)) - np.uint64(1)
+            part = (range_hashes(data, start, start + length) & mask[entry]).astype(np.int64)
+            begin, content = _cut_out(raw, entry, start, part, length)
+            of = entry[begin]
+            columns = [pa.array(x) for x in (h[of], part[begin], ch[of], nth[begin], own[of])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary())], names=["h", "part", "ch", "at", "own", "bytes"])
 
     # an anchor that passed the filter by chance has strings that nothing precedes
-    large = blocks.select("h", F.ceil(F.col("many") / block).cast("long").alias("parts")).filter("parts > 1")
-    large = F.broadcast(large) if large.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS else large
-    some = rows.mapInArrow(run, "h long, ch long, own long, bytes binary").join(large, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    return some.mapInArrow(lambda batches: _dealt(batches, length), "h long, part long, ch long, at long, own long, bytes binary")
+    return rows.mapInArrow(run, "h long, part long, ch long, at long, own long, bytes binary")
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -252,13 +270,12 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _cut_out(data: np.ndarray, entry: np.ndarray, start: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, list[bytes]]:
+def _cut_out(raw: bytes, entry: np.ndarray, start: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, list[bytes]]:
     """Maximal runs of strings in a row of equal entry and key: their first strings' indexes, and the runs' bytes."""
     fresh = np.ones(len(entry), bool)
     fresh[1:] = (entry[1:] != entry[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)
     begin = np.flatnonzero(fresh)
     stop = start[np.append(begin[1:], len(entry))[: len(begin)] - 1] + length
-    raw = data.tobytes()
     return begin, [raw[a:b] for a, b in zip(start[begin].tolist(), stop.tolist())]
 
 
@@ -270,19 +287,6 @@ def _strings(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
     return entry, at, offsets[entry] + at
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Entries cut into the pieces whose strings belong to one part."""
-    for batch in batches:
-        h, ch, own, parts = (batch.column(c).to_numpy().astype(np.int64) for c in ("h", "ch", "own", "parts"))
-        data, offsets = _bytes_of(batch.column("bytes"))
-        entry, at, start = _strings(offsets, length)
-        part = (range_hashes(data, start, start + length) % parts[entry].astype(np.uint64)).astype(np.int64)
-        begin, content = _cut_out(data, entry, start, part, length)
-        of = entry[begin]
-        columns = [pa.array(x) for x in (h[of], part[begin], ch[of], at[begin], own[of])]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary())], names=["h", "part", "ch", "at", "own", "bytes"])
-
-
 def run_minima(data: np.ndarray, sizes: np.ndarray, block: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
     """For every place of the pieces' bytes, the smallest ``own`` of the pieces of its block that have the string there; else -1.
 
@@ -342,7 +346,7 @@ def _least(held: pa.RecordBatch, length: int) -> pa.RecordBatch:
     shared = np.repeat(np.minimum.reduceat(own[entry[order]], begin) < np.maximum.reduceat(own[entry[order]], begin), end - begin) if len(order) else np.zeros(0, bool)
     keep = np.sort(order[shared])
     entry, nth, start = entry[keep], nth[keep], start[keep]
-    first, content = _cut_out(data, entry, start, np.zeros(len(entry), np.int64), length)
+    first, content = _cut_out(data.tobytes(), entry, start, np.zeros(len(entry), np.int64), length)
     of, nth, size = entry[first], nth[first], np.array([len(x) for x in content], np.int64)
     # equal pieces of a block are one, with the smallest id
     index: dict[tuple[int, bytes], int] = {}
