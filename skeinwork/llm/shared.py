@@ -23,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of an Arrow batch while a table is written: texts of the JVM and of its Python workers then take a few MB each.
+ARROW_ROWS = 2000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:
         return
@@ -35,7 +40,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; removed when the driver ends."""
     spark = df.sparkSession
     path, schema = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
+    usual = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, min(int(usual), ARROW_ROWS) if int(usual) > 0 else ARROW_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW, usual)
     atexit.register(_remove, spark, path)
     del df
     gc.collect()

@@ -1,6 +1,7 @@
 """Exact and near dedup, repeated strings, shards and url rules on small made-up tables, against brute force."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -66,6 +67,37 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     assert got == brute_components(rows, 4, 85) and len({c for _, c in got.values()}) < 12
 
 
+@pytest.mark.parametrize("block", [5])
+def test_a_dense_group_of_near_misses_and_links(spark, monkeypatch, block):
+    """Most neighbours link, others just miss; every member shares rare shingles with very many."""
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", block)
+    rng = random.Random(4)
+    words = base_words(70).split()
+    rows = []
+    for i in range(90):
+        own = list(words)
+        for j in range(rng.randrange(6)):
+            own[rng.randrange(len(own))] = f"{i}y{j}"
+        rows.append((i * 3 % 91, " ".join(own), "en", "s", 0))
+    want = brute_components(rows, 4, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want and 3 < len({c for _, c in want.values()}) < 80
+
+
+def test_rows_without_or_with_repeated_ids_link_by_their_texts(spark):
+    words = base_words(60).split()
+    near = lambda *at: " ".join(f"new{i}" if i in at else w for i, w in enumerate(words))
+    far = lambda k: " ".join(f"q{k}z{i}" for i in range(40))
+    rows = [(7, near()), (None, near(0)), (9, near(59)), (9, far(1)), (10, far(1) + " x"), (None, far(2)), (None, far(2)), (None, far(2) + " y"), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect())
+    want = [(7, 57, 7), (None, 57, 7), (9, 57, 7), (9, 37, 9), (10, 38, 9), (None, 37, None), (None, 37, None), (None, 38, None), (None, 0, None), (3, 0, 3)]
+    assert got == sorted((str(i), n, c) for i, n, c in want)
+    kept = [(r.doc_id, r.text) for r in ngram_join.one_per_component(df.withColumn("rep", F.lit("clash")), width=4, percent=85).collect()]
+    assert kept.count((7, near())) == 1 and (None, near(0)) not in kept and (9, near(59)) not in kept and (9, far(1)) in kept and (10, far(1) + " x") not in kept
+    assert len({t for i, t in kept if i is None and t}) == 1 and (None, None) in kept and (3, "") in kept
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_links_are_counted_inside_components(docs, spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block)
