@@ -41,6 +41,10 @@ RANGES = 64
 MOST_RANGES = 4096
 #: Members of a block of a list.
 LIST_BLOCK = 1024
+#: Long lists are broadcast, with their numbers of blocks, up to this number.
+BROADCAST_LISTS = 100_000
+#: Pairs that a list hands on in the first round for each member, besides its forest.
+MORE = 2
 #: Pairs of a list's members that are looked at in one go.
 PAIRS = 1 << 19
 BLOOM_BITS = 1 << 24
@@ -112,9 +116,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequencies(profile: DataFrame) -> np.ndarray:
     """The summed sketch: 2**SKETCH_BITS counts, whatever the input. Tasks' parts are summed in two rounds."""
     parts = profile.filter("part is not null").select("part", "counts")
-    salted = parts.repartition(SKETCH_PARTS * 4, "part", F.pmod(F.xxhash64("counts"), F.lit(4)))
+    salted = parts.repartition(32, "part", F.pmod(F.xxhash64("counts"), F.lit(4)))
     once = salted.mapInArrow(_summed, "part int, counts binary")
-    rows = once.repartition(SKETCH_PARTS, "part").mapInArrow(_summed, "part int, counts binary").collect()
+    rows = once.repartition(8, "part").mapInArrow(_summed, "part int, counts binary").collect()
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint32)
     for r in rows:
         out[r.part] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
@@ -127,7 +131,7 @@ def need(n: np.ndarray | Column, percent: int):
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """id, t, n, sig_a, sig_b, prefix (rare first) and ranges (a count, 255 at most, of the set's shingles in each range of its hashes)."""
+    """id, t, n, sig_a, sig_b, prefix (rare first) and ranges (the number of shingles in each range of their hashes, modulo 16, two in a byte)."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     # counts up to the sketch's usual level say nothing about a shingle
     level = int(np.median(sketch[sketch > 0])) if sketch.any() else 0
@@ -146,10 +150,11 @@ def prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> D
             many = _ranges(sizes)
             upto = np.concatenate([[0], np.cumsum(many)])
             cell = upto[rows] + (found & (many[rows] - 1).astype(np.uint64)).astype(np.int64)
-            ranges = np.minimum(np.bincount(cell, minlength=int(upto[-1])), 255).astype(np.uint8).tobytes()
+            counts_in = (np.bincount(cell, minlength=int(upto[-1])) & 15).astype(np.uint8)
+            ranges = (counts_in[0::2] | (counts_in[1::2] << 4)).tobytes()
             a, b = _signatures(found, at)
             ends = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
-            counts_of = pa.array([ranges[x:y] for x, y in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.binary())
+            counts_of = pa.array([ranges[x:y] for x, y in zip((upto[:-1] // 2).tolist(), (upto[1:] // 2).tolist())], pa.binary())
             columns = [keys.column("id").cast(pa.int64()), keys.column("t"), pa.array(sizes.astype(np.int64)), pa.array(a), pa.array(b)]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(prefix)), counts_of], names=["id", "t", "n", "sig_a", "sig_b", "prefix", "ranges"])
 
@@ -169,11 +174,12 @@ def _most_apart(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _folded(ranges: list[bytes], many: int) -> np.ndarray:
-    """Counts over ``many`` hash ranges, of sets with as many or more. Sums of capped counts differ by no more than the sets do."""
-    out = np.zeros((len(ranges), many), np.int32)
+    """Counts modulo 16 over ``many`` hash ranges, of sets with as many or more."""
+    out = np.zeros((len(ranges), many), np.uint8)
     for i, r in enumerate(ranges):
-        out[i] = np.frombuffer(r, np.uint8).reshape(-1, many).sum(axis=0)
-    return out
+        packed = np.frombuffer(r, np.uint8)
+        out[i] = np.stack([packed & 15, packed >> 4], axis=1).reshape(-1, many).sum(axis=0, dtype=np.uint8)
+    return out & 15
 
 
 def _passes(percent: int) -> Column:
@@ -200,11 +206,12 @@ def _suffix_filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFra
 def _near(left: list[bytes], right: list[bytes], x: np.ndarray, y: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs (left[x], right[y]) have counts that differ by ``most`` at most, and by how much those differ.
 
+    Modulo 16 the difference of two counts is the smaller way round, which is never above the true one.
     All are compared over the fewest ranges first; those that remain over the ranges that both have.
     """
     apart = np.zeros(len(x), np.int64)
     keep = np.ones(len(x), bool)
-    wide_l, wide_r = np.array([len(r) for r in left], np.int64), np.array([len(r) for r in right], np.int64)
+    wide_l, wide_r = 2 * np.array([len(r) for r in left], np.int64), 2 * np.array([len(r) for r in right], np.int64)
     both = np.minimum(wide_l[x], wide_r[y])
     for many in [RANGES, *(m for m in np.unique(both).tolist() if m > RANGES)]:
         some = np.flatnonzero(keep & ((both == many) if many > RANGES else True))
@@ -215,7 +222,8 @@ def _near(left: list[bytes], right: list[bytes], x: np.ndarray, y: np.ndarray, m
         of_l, of_r = _folded([left[i] for i in used_l.tolist()], many), _folded([right[i] for i in used_r.tolist()], many)
         step = max(1, (1 << 22) // many)
         for lo in range(0, len(some), step):
-            apart[some[lo : lo + step]] = np.abs(of_l[at_l[lo : lo + step]] - of_r[at_r[lo : lo + step]]).sum(axis=1)
+            way = (of_l[at_l[lo : lo + step]] - of_r[at_r[lo : lo + step]]) & 15
+            apart[some[lo : lo + step]] = np.minimum(way, 16 - way).sum(axis=1, dtype=np.int64)
         keep[some] = apart[some] <= most[some]
     return keep, apart
 
@@ -284,24 +292,25 @@ def _joined(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
 
     # across components: every other pair that could still join two of them
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    lists = cut(_mixed_lists(posting.join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))), "mixed-lists")
-    # what a member brings to its lists goes along once a member, not once a round
-    lists = cut(lists.join(reps.select("rep", "ranges"), "rep"), "mixed-list-members")
-    more = 1
+    component = F.coalesce("component", "rep").alias("component")
+    lists = _mixed_lists(posting.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "rep", "n", "pos", component))
+    lists = cut(lists.join(reps.select("rep", "ranges"), "rep"), "mixed-lists")
+    open_lists, more = lists, MORE
     while True:
-        pairs = cut(across(lists, percent, more), "pairs-across")
-        left_out = pairs.filter("a is null").limit(1).count() > 0
-        pairs = cut(pairs.filter("a is not null").distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
+        found = cut(across(open_lists, percent, more), "pairs-across")
+        again = cut(found.filter("tok is not null").select("tok").distinct(), "open-lists")
+        pairs = cut(found.filter("tok is null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
         if pairs.limit(1).count():
             grown = cut(verified(rows, width, percent, reps, pairs), "new-links")
             if grown.limit(1).count():
                 # a component is a star already
                 part = cut(components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(grown)), "components")
-        if not left_out:
+        if not again.limit(1).count():
             return profile, reps, part
+        # lists that kept pairs back; all pairs of the others are verified
         tried = tried.union(pairs)
-        lists = lists.drop("component").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        lists = cut(_mixed_lists(lists), "mixed-lists")
+        open_lists = lists.drop("component").join(again, "tok", "left_semi").join(part.withColumnRenamed("node", "rep"), "rep", "left")
+        open_lists = cut(_mixed_lists(open_lists.select("tok", "rep", "n", "pos", component, "ranges")), "mixed-lists")
         more *= 8
 
 
@@ -314,19 +323,20 @@ def _mixed_lists(at: DataFrame) -> DataFrame:
 def across(lists: DataFrame, percent: int, more: int) -> DataFrame:
     """(a, b), a < b: of each list (tok, rep, n, pos, component, ranges) pairs of different components that pass all filters.
 
-    These are a spanning forest over the list's components and up to ``more`` pairs a member, the likeliest first; a row of
-    nulls tells that a list has others. A list's largest component and the others' members are dealt over blocks, and a
+    These are a spanning forest over the list's components and up to ``more`` pairs a member, the likeliest first; a row with
+    ``tok`` tells that a list has others. A long list's largest component and the others' members are dealt over blocks, and a
     task sees two blocks, one of them not of the largest component.
     """
-    counts = lists.groupBy("tok", "component").agg(F.count(F.lit(1)).alias("many"))
+    long = lists.groupBy("tok").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > LIST_BLOCK).select("tok")
+    counts = lists.select("tok", "component").join(long, "tok", "left_semi").groupBy("tok", "component").agg(F.count(F.lit(1)).alias("many"))
     sizes = counts.groupBy("tok").agg(F.sum("many").alias("all"), F.max(F.struct("many", "component")).alias("main"))
     blocks = lambda many: F.ceil(many / F.lit(LIST_BLOCK)).cast("int")
-    sizes = sizes.select("tok", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.many")).alias("others"), blocks(F.col("main.many")).alias("mains"))
-    at = lists.join(sizes, "tok")
+    sizes = cut(sizes.select("tok", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.many")).alias("others"), blocks(F.col("main.many")).alias("mains")), "long-lists")
+    at = lists.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LISTS else sizes, "tok", "left")
     own = F.when(F.col("component") == F.col("main"), F.col("others") + F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("others"))).cast("int")
     at = at.withColumn("own", own)
     partners = F.when(F.col("own") >= F.col("others"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.array_except(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1), F.array("own")))
-    at = at.select("tok", "rep", "n", "pos", "component", "ranges", "own", F.explode(partners).alias("other"))
+    at = at.select("tok", "rep", "n", "pos", "component", "ranges", F.coalesce("own", F.lit(0)).alias("own"), F.explode(F.when(F.col("main").isNull(), F.array(F.lit(1))).otherwise(partners)).alias("other"))
     at = at.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
     at = at.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
 
@@ -346,7 +356,7 @@ def across(lists: DataFrame, percent: int, more: int) -> DataFrame:
         if rows:
             yield _forests(pa.concat_batches(held), percent, more)
 
-    return at.mapInArrow(run, "a long, b long")
+    return at.mapInArrow(run, "a long, b long, tok long")
 
 
 def _steps(*keys: np.ndarray) -> np.ndarray:
@@ -407,10 +417,11 @@ def _forests(cells: pa.RecordBatch, percent: int, more: int) -> pa.RecordBatch:
     start = np.flatnonzero(_steps(cell[x])) if len(x) else np.zeros(0, np.int64)
     before = np.repeat(nth[start] - ~chosen[start], np.diff(np.append(start, len(x))))
     chosen |= nth - before <= more * sizes[cell[x]]
-    out = [a[chosen], b[chosen]]
-    if chosen.all():
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b"])
-    return pa.RecordBatch.from_arrays([pa.array([*c.tolist(), None], pa.int64()) for c in out], names=["a", "b"])
+    back = np.unique(tok[x[~chosen]])
+    none = np.zeros(len(back), np.int64)
+    of_list = np.concatenate([np.zeros(int(chosen.sum()), bool), np.ones(len(back), bool)])
+    columns = [pa.array(np.concatenate([c[chosen], none]), mask=of_list) for c in (a, b)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.zeros(int(chosen.sum()), np.int64), back]), mask=~of_list)], names=["a", "b", "tok"])
 
 
 def _per_row(profile: DataFrame, reps: DataFrame, joined: DataFrame) -> DataFrame:
