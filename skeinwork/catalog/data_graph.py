@@ -100,7 +100,7 @@ def merge_edges(spark: SparkSession, d: str) -> DataFrame:
     pair = t.groupBy("l_partkey", "l_suppkey").agg(F.min("l_returnflag").alias("low"), F.max("l_returnflag").alias("high"))
     a, b = (fill(pair.select(*keys, F.col(c).alias("label"), F.lit("high").alias("confidence")), EDGES) for c in ("low", "high"))
     edges, warnings = merge.merge_edges([a, b])
-    n = warnings.groupBy(F.regexp_extract("message", "for '([^']*)->", 1).alias("source_id"), F.regexp_extract("message", "->([^']*)'", 1).alias("target_id")).agg(F.count(F.lit(1)).alias("n_warnings"))
+    n = warnings.groupBy(F.regexp_extract("message", "Edge '([^']*)->", 1).alias("source_id"), F.regexp_extract("message", "->([^']*)'", 1).alias("target_id")).agg(F.count(F.lit(1)).alias("n_warnings"))
     return edges.join(n, ["source_id", "target_id"], "left").select("source_id", "target_id", "label", F.coalesce("n_warnings", F.lit(0)).cast("long").alias("n_warnings"))
 
 
@@ -253,7 +253,7 @@ SQL = {
         SELECT 'table:' || lower(c_name) AS id, 'table' AS kind, c_name AS name, 'db.' || c_name AS qualified_name,
           CASE WHEN c_acctbal < 0 THEN 1 ELSE 2 END::BIGINT AS n_evidence, c_mktsegment AS segment FROM customer""",
     "merge_warnings": """
-        SELECT 'source_disagreement' AS code, 'Sources disagree on node.name for ''table:' || lower(c_name) || ''': ''' || c_name || ''' vs ''' || upper(c_mktsegment) || '''' AS message, 'table:' || lower(c_name) AS subject_id FROM customer WHERE c_acctbal < 0
+        SELECT 'source_disagreement' AS code, '''table:' || lower(c_name) || ''' differs by source in node.name: ''' || c_name || ''' vs ''' || upper(c_mktsegment) || '''' AS message, 'table:' || lower(c_name) AS subject_id FROM customer WHERE c_acctbal < 0
         UNION ALL SELECT 'source_disagreement', 'Sources disagree on aspect ''segment'' for ''table:' || lower(c_name) || '''', 'table:' || lower(c_name) FROM customer WHERE c_acctbal < 0""",
     "merge_edges": """
         SELECT 'part:' || l_partkey AS source_id, 'supplier:' || l_suppkey AS target_id, min(l_returnflag) AS label,
@@ -265,10 +265,10 @@ SQL = {
         SELECT 'table:' || CASE WHEN c_acctbal < 0 THEN 'x.' ELSE '' END || lower(c_name) AS id, lower(n_name) AS bound_schema, NULL::VARCHAR AS code FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "dangling_edges": "SELECT 'customer:' || k AS node_id, count(*) AS n FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT o_custkey FROM orders) GROUP BY k",
     "duplicate_bindings": """
-        SELECT printf('customer:%09d', c_custkey) AS node_id, 'Physical binding (''w'', '''', ''' || c_mktsegment || ''', ''' || c_nationkey || ''', '''') is shared by ''' || printf('customer:%09d', f) || ''' and ''' || printf('customer:%09d', c_custkey) || '''' AS message
+        SELECT printf('customer:%09d', c_custkey) AS node_id, '''' || printf('customer:%09d', c_custkey) || ''' is bound to (''w'', '''', ''' || c_mktsegment || ''', ''' || c_nationkey || ''', ''''), as ''' || printf('customer:%09d', f) || ''' is' AS message
         FROM (SELECT *, min(c_custkey) OVER (PARTITION BY c_mktsegment, c_nationkey) AS f FROM customer) WHERE c_custkey <> f""",
     "duplicate_formulas": """
-        SELECT printf('metric:%09d', doc_id) AS node_id, 'Metric ''' || printf('metric:%09d', doc_id) || ''' duplicates formula already used by ''' || printf('metric:%09d', f) || '''' AS message
+        SELECT printf('metric:%09d', doc_id) AS node_id, '''' || printf('metric:%09d', doc_id) || ''' has the formula of ''' || printf('metric:%09d', f) || '''' AS message
         FROM (SELECT *, min(doc_id) OVER (PARTITION BY lower(trim(text, ' '))) AS f FROM documents WHERE trim(text, ' ') <> '') WHERE doc_id <> f""",
     "posture": """
         SELECT 'check.' || event_type AS check_id, s AS severity, count(*) AS n, p AS posture FROM events, (VALUES ('strict', 'warn'), ('standard', 'warn'), ('permissive', NULL)) v(p, s) GROUP BY event_type, s, p""",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.identity import binding_key
-from skeinwork.schemas import FINDINGS, POSTURES, Graph, GraphError, fill
+from skeinwork.schemas import FINDINGS, MOST_MESSAGES, POSTURES, Graph, GraphError, fill
 
 METRIC = "struct<formula:string,unit:string,description:string,depends_on:array<string>>"
 QUERY = "struct<sql:string,description:string,depends_on:array<string>,compiled_sql:string>"
@@ -27,15 +27,15 @@ def unique_node_ids(g: Graph) -> DataFrame:
     """A finding for each row of an id beyond the first."""
     extra = g.nodes.groupBy("id").agg((F.count(F.lit(1)) - 1).cast("int").alias("extra")).filter("extra > 0")
     extra = extra.select("id", F.explode(F.sequence(F.lit(1), "extra")))
-    return _findings(extra, "check.unique_node_ids", "structural", F.concat(F.lit("Duplicate node id "), _q(F.col("id"))), F.col("id"), "Ensure each logical node has a unique canonical id")
+    return _findings(extra, "check.unique_node_ids", "structural", F.concat(_q(F.col("id")), F.lit(" names more than one node")), F.col("id"), "Give every node an id of its own")
 
 
 def edges_resolve(g: Graph) -> DataFrame:
     """A finding for each end of an edge without a node."""
     ends = g.edges.select("kind", F.explode(F.array(F.struct(F.lit("source").alias("end"), F.col("source_id").alias("id")), F.struct(F.lit("target").alias("end"), F.col("target_id").alias("id")))).alias("e")).select("kind", "e.end", "e.id")
     lost = ends.join(g.nodes.select("id").distinct(), "id", "left_anti")
-    message = F.concat(F.lit("Edge "), "kind", F.lit(" references missing "), "end", F.lit(" node "), _q(F.col("id")))
-    return _findings(lost, "check.edges_resolve", "structural", message, F.col("id"), "Remove or repair dangling edge endpoints")
+    message = F.concat(F.lit("No node "), _q(F.col("id")), F.lit(" for the "), "end", F.lit(" of an edge of kind "), "kind")
+    return _findings(lost, "check.edges_resolve", "structural", message, F.col("id"), "Add the node or drop the edge")
 
 
 def duplicate_bindings(g: Graph) -> DataFrame:
@@ -45,21 +45,21 @@ def duplicate_bindings(g: Graph) -> DataFrame:
     first = each.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = each.join(first, "key").filter("id <> first")
     key = F.concat(F.lit("("), F.concat_ws(", ", *[_q(F.col(f"key.{f}")) for f in ("warehouse", "database", "schema", "table", "column")]), F.lit(")"))
-    message = F.concat(F.lit("Physical binding "), key, F.lit(" is shared by "), _q(F.col("first")), F.lit(" and "), _q(F.col("id")))
-    return _findings(shared, "check.duplicate_bindings", "structural", message, F.col("id"), "Ensure each logical node has distinct physical bindings")
+    message = F.concat(_q(F.col("id")), F.lit(" is bound to "), key, F.lit(", as "), _q(F.col("first")), F.lit(" is"))
+    return _findings(shared, "check.duplicate_bindings", "structural", message, F.col("id"), "Bind one node only to this place")
 
 
 def derivation_status(g: Graph) -> DataFrame:
     status = F.col("derivation.status")
-    message = F.concat("id", F.lit(" has derivation status "), _q(status), F.lit(" (confidence="), _q(F.col("derivation.confidence")), F.lit(")"))
-    hint = "Review lineage resolution for this node"
+    message = F.concat(F.lit("Derivation of "), "id", F.lit(": "), status, F.lit(", confidence "), F.coalesce(F.col("derivation.confidence"), F.lit("unknown")))
+    hint = "See why its lineage stays open"
     partial = _findings(g.nodes.filter(status == "partial"), "check.partial_derivation", "warn", message, F.col("id"), hint)
     return partial.unionByName(_findings(g.nodes.filter(status == "failed"), "check.failed_derivation", "error", message, F.col("id"), hint))
 
 
 def zero_column_lineage(g: Graph) -> DataFrame:
     n = g.edges.agg(F.count_if(F.col("kind") == "derives_from").alias("n")).filter("n = 0")
-    return _findings(n, "check.zero_column_lineage", "warn", F.lit("0 derives_from edges were produced; column-level impact will be incomplete."), None, "Run dbt compile, attach warehouse metadata, or review SQL patterns")
+    return _findings(n, "check.zero_column_lineage", "warn", F.lit("The graph has no derives_from edge, so impact stops at tables"), None, "Give compiled SQL and the columns of source tables")
 
 
 def duplicate_formulas(g: Graph) -> DataFrame:
@@ -68,7 +68,7 @@ def duplicate_formulas(g: Graph) -> DataFrame:
     metrics = g.nodes.filter("kind = 'metric'").select("id", formula.alias("formula")).filter("formula <> ''")
     first = metrics.groupBy("formula").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = metrics.join(first, "formula").filter("id <> first")
-    return _findings(shared, "check.duplicate_formula", "warn", F.concat(F.lit("Metric "), _q(F.col("id")), F.lit(" duplicates formula already used by "), _q(F.col("first"))), F.col("id"))
+    return _findings(shared, "check.duplicate_formula", "warn", F.concat(_q(F.col("id")), F.lit(" has the formula of "), _q(F.col("first"))), F.col("id"))
 
 
 CHECKS = (unique_node_ids, edges_resolve, duplicate_bindings, derivation_status, zero_column_lineage, duplicate_formulas)
@@ -95,12 +95,19 @@ def run_checks(g: Graph, posture: str = "standard", more: tuple = ()) -> DataFra
 def enforce_checks(g: Graph, posture: str = "standard") -> DataFrame:
     """The findings; raises with all errors' messages if there are any."""
     report = run_checks(g, posture)
-    errors = report.filter("severity = 'error'").select("check_id", "message").orderBy("check_id", "message").limit(1000).collect()
-    if errors:
-        raise GraphError("; ".join(f"{r.check_id}: {r.message}" for r in errors))
+    raise_all(report.filter("severity = 'error'").select(F.concat("check_id", F.lit(": "), "message").alias("message")))
     return report
 
 
+def raise_all(messages: DataFrame) -> None:
+    """Raise with the messages in order and, if there are more than MOST_MESSAGES, how many are left; nothing happens if there are none."""
+    first = [r.message for r in messages.orderBy("message").limit(MOST_MESSAGES + 1).collect()]
+    if len(first) > MOST_MESSAGES:
+        first[MOST_MESSAGES:] = [f"and {messages.count() - MOST_MESSAGES} more"]
+    if first:
+        raise GraphError("; ".join(first))
+
+
 def contract_problems(g: Graph) -> DataFrame:
     """(id, problem) of metric and query nodes: a missing or invalid aspect, an empty formula or SQL, missing dependencies."""
     metric = F.from_json(F.col("aspects")["metric"], METRIC)
@@ -119,9 +126,8 @@ def contract_problems(g: Graph) -> DataFrame:
 
 def link_contracts(g: Graph) -> Graph:
     """``depends_on`` edges from each dependency to its metric or query, once; raises with all missing dependencies."""
-    lost = contract_problems(g).filter("problem like 'missing dependency %'").orderBy("id", "problem").limit(1000).collect()
-    if lost:
-        raise GraphError("; ".join(f"{r.id}: {r.problem}" for r in lost))
+    lost = contract_problems(g).filter("problem like 'missing dependency %'")
+    raise_all(lost.select(F.concat("id", F.lit(": "), "problem").alias("message")))
     deps = F.coalesce(F.from_json(F.col("aspects")["metric"], METRIC)["depends_on"], F.from_json(F.col("aspects")["query"], QUERY)["depends_on"])
     pairs = g.nodes.filter(F.col("kind").isin("metric", "query")).select(F.explode(deps).alias("source_id"), F.col("id").alias("target_id")).distinct().withColumn("kind", F.lit("depends_on"))
     new = pairs.join(g.edges, ["kind", "source_id", "target_id"], "left_anti")

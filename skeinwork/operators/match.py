@@ -74,11 +74,11 @@ def attach_bindings(g: Graph, warehouse: Graph, aliases: DataFrame | None = None
     ok = (F.col("status") == "resolved") & gain.isNotNull()
     result = open_.withColumn("gain", F.when(ok, gain)).withColumn("giver", F.when(ok & (giver != F.col("id")), giver))
     message = (
-        F.when(F.col("blank"), F.concat("id", F.lit(" has no qualified_name and cannot be bound to warehouse metadata")))
-        .when(F.col("short"), F.concat("id", F.lit(" has invalid column qualified_name for binding")))
-        .when((F.col("kind") == "column") & (F.col("status") == "resolved"), F.concat("id", F.lit(" parent matched "), "target_id", F.lit(" but column '"), "column", F.lit("' was not found in warehouse metadata")))
-        .when(F.col("kind") == "column", F.concat("id", F.lit(" parent table could not be uniquely bound to warehouse metadata (match_status="), "status", F.lit(")")))
-        .otherwise(F.concat("id", F.lit(" could not be uniquely bound to warehouse metadata (match_status="), "status", F.lit(")")))
+        F.when(F.col("blank"), F.concat(F.lit("Nothing to look "), "id", F.lit(" up by: its qualified_name is empty")))
+        .when(F.col("short"), F.concat(F.lit("The qualified_name of "), "id", F.lit(" has no table part")))
+        .when((F.col("kind") == "column") & (F.col("status") == "resolved"), F.concat("target_id", F.lit(" has no column '"), "column", F.lit("' for "), "id"))
+        .when(F.col("kind") == "column", F.concat(F.lit("The table of "), "id", F.lit(" is "), "status", F.lit(" in the warehouse")))
+        .otherwise(F.concat("id", F.lit(" is "), "status", F.lit(" in the warehouse")))
     )
     code = F.when(F.col("status") == "ambiguous", "warehouse_bind_ambiguous").otherwise("warehouse_bind_unresolved")
     warnings = result.filter("gain is null").select(code.alias("code"), message.alias("message"), F.lit(None).cast("string").alias("location"), F.col("id").alias("subject_id"))

@@ -106,7 +106,7 @@ def merge_nodes(frames: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     g = _with_parts(_grouped(frames, ["id"]), nodes=True)
     rows, id_ = F.col("rows"), F.col("id")
     kinds = F.array_distinct(F.transform(rows, lambda r: r["kind"]))
-    problem = F.concat(F.lit("Conflicting node.kind values for "), _quoted(id_), F.lit(": "), F.array_join(kinds, " != "))
+    problem = F.concat(_quoted(id_), F.lit(" is of several kinds: "), F.array_join(kinds, ", "))
     kind = F.when(F.size(kinds) > 1, F.raise_error(problem)).otherwise(F.get(kinds, F.lit(0)))
     bindings, drift = _merged_bindings()
     aspects, clash = _merged_aspects()
@@ -123,13 +123,13 @@ def merge_nodes(frames: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
         aspects.alias("aspects"),
     )
     many = g.filter(F.size("rows") > 1)
-    start = lambda what: F.concat(F.lit(f"Sources disagree on {what} for "), _quoted(id_), F.lit(": "))
+    start = lambda what: F.concat(_quoted(id_), F.lit(f" differs by source in {what}: "))
     own = F.when(id_.startswith("column:") | id_.startswith("table:"), id_)
     parts = [
         _warn(many, F.lit(_RANKED), _messages(_others(rows, lambda r: r["name"], True), start("node.name"), _quoted(_first(rows, lambda r: r["name"]))), id_),
         _warn(many, F.lit(_RANKED), F.transform(states, lambda s: F.concat(start("derivation"), derivation["status"], F.lit("/"), derivation["confidence"], F.lit(" vs "), s)), id_),
-        _warn(many, F.lit(_RANKED), F.transform(clash, lambda k: F.concat(F.lit("Sources disagree on aspect "), _quoted(k), F.lit(" for "), _quoted(id_))), id_),
-        _warn(many, F.lit("schema_drift"), F.transform(drift, lambda k: F.concat(F.lit("Conflicting physical bindings for "), _quoted(id_), F.lit(" at ("), F.concat_ws(", ", *[_quoted(k[f]) for f in ("warehouse", "database", "schema", "table", "column")]), F.lit(")"))), id_),
+        _warn(many, F.lit(_RANKED), F.transform(clash, lambda k: F.concat(_quoted(id_), F.lit(" differs by source in aspect "), _quoted(k))), id_),
+        _warn(many, F.lit("schema_drift"), F.transform(drift, lambda k: F.concat(_quoted(id_), F.lit(" is bound differently by source at ("), F.concat_ws(", ", *[_quoted(k[f]) for f in ("warehouse", "database", "schema", "table", "column")]), F.lit(")"))), id_),
     ]
     for field, what in (("qualified_name", "node.qualified_name"), ("schema", "node.schema")):
         get = _field(field)
@@ -155,14 +155,14 @@ def merge_edges(frames: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     many = g.filter(F.size("rows") > 1)
     pair = F.concat("source_id", F.lit("->"), "target_id")
     own = F.when(pair.startswith("column:") | pair.startswith("table:"), pair)
-    confidence = F.concat(F.lit("Sources disagree on edge.confidence for "), "kind", F.lit(":"), pair, F.lit(": "))
+    confidence = F.concat(F.lit("Edge "), _quoted(pair), F.lit(" of kind "), "kind", F.lit(" differs by source in confidence: "))
     parts = [
         _warn(many, F.lit(_RANKED), _messages(_others(rows, lambda r: r["confidence"], True), confidence, _quoted(_first(rows, lambda r: r["confidence"]))), F.col("source_id")),
-        _warn(many, F.lit(_RANKED), F.transform(states, lambda s: F.concat(F.lit("Sources disagree on derivation for "), _quoted(F.col("source_id")), F.lit(": "), derivation["status"], F.lit("/"), derivation["confidence"], F.lit(" vs "), s)), F.col("source_id")),
+        _warn(many, F.lit(_RANKED), F.transform(states, lambda s: F.concat(_quoted(F.col("source_id")), F.lit(" differs by source in derivation: "), derivation["status"], F.lit("/"), derivation["confidence"], F.lit(" vs "), s)), F.col("source_id")),
     ]
     for field in ("label", "match_status"):
         get = _field(field)
-        start = F.concat(F.lit(f"Sources disagree on edge.{field} for "), _quoted(pair), F.lit(": "))
+        start = F.concat(F.lit("Edge "), _quoted(pair), F.lit(f" differs by source in {field}: "))
         parts.append(_warn(many, F.lit(_RANKED), _messages(_others(rows, get, False), start, _quoted(_first_given(rows, get))), own))
     return out, reduce(DataFrame.unionByName, parts)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.operators.checks import raise_all
 from skeinwork.schemas import Graph, GraphError
 
 # Fixed value: aspects that never leave.
@@ -53,8 +54,8 @@ def floor_violations(nodes: DataFrame) -> DataFrame:
     closed = label.isin("pii", "confidential") & _blank("policy_refs")
     found = F.filter(
         F.array(
-            F.when(ai, F.concat("id", F.lit(" exposes AI behavior without classification aspect"))),
-            F.when(closed, F.concat("id", F.lit(" is classified '"), label, F.lit("' without policy_refs"))),
+            F.when(ai, F.concat("id", F.lit(" lets AI act but has no classification"))),
+            F.when(closed, F.concat("id", F.lit(" is '"), label, F.lit("' but names no policy"))),
         ),
         lambda v: v.isNotNull(),
     )
@@ -62,9 +63,7 @@ def floor_violations(nodes: DataFrame) -> DataFrame:
 
 
 def enforce_floor(g: Graph) -> None:
-    rows = floor_violations(g.nodes).orderBy("id", "violation").limit(1000).collect()
-    if rows:
-        raise GraphError("; ".join(r.violation for r in rows))
+    raise_all(floor_violations(g.nodes).select(F.col("violation").alias("message")))
 
 
 def gate(nodes: DataFrame, rules: DataFrame, identity: str) -> DataFrame:

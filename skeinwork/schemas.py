@@ -27,6 +27,10 @@ POSTURES = ("strict", "standard", "permissive")
 VERSION = "1"
 
 
+#: Messages that an error spells out; it also says how many more there are.
+MOST_MESSAGES = 1000
+
+
 class GraphError(ValueError):
     """An input or a graph breaks a rule of the model."""
 

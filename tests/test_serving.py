@@ -17,22 +17,26 @@ RULES = "id string, kind string, identity string, effect string, selector_kind s
 def test_server(spark):
     nodes = spark.createDataFrame([("query:q", "query", "q", {"query": json.dumps({"sql": "x", "compiled_sql": "select 1 as one"})})], "id string, kind string, name string, aspects map<string,string>")
     rules = spark.createDataFrame([("1", "rbac", "me", "allow", None)], RULES)
-    s = server(spark, graph_of(spark, nodes), rules)
-    threading.Thread(target=s.serve_forever, daemon=True).start()
+    s, other = (server(spark, graph_of(spark, nodes), rules, who) for who in ("me", "you"))
+    for one in (s, other):
+        threading.Thread(target=one.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{s.server_port}"
 
-    def ask(**body):
-        return json.loads(urllib.request.urlopen(urllib.request.Request(url + "/query", json.dumps(body).encode()), timeout=60).read())
+    def ask(body, at=None):
+        raw = body if isinstance(body, bytes) else json.dumps(body).encode()
+        return json.loads(urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{(at or s).server_port}/query", raw), timeout=60).read())
 
     assert json.loads(urllib.request.urlopen(url + "/health", timeout=60).read()) == {"status": "ok"}
-    assert ask(identity="me", query="query:q") == {"rows": [{"one": 1}]}
-    for status, body in ((403, {"identity": "you", "query": "query:q"}), (500, {"identity": "me", "query": "query:zz"})):
+    assert ask({"query": "query:q"}) == {"rows": [{"one": 1}]}
+    wrong = [(403, {"query": "query:q"}, other), (500, {"query": "query:zz"}, s), (400, {"identity": "me", "query": "query:q"}, other), (400, b"{", s), (400, [1], s), (400, {"query": 1}, s)]
+    for status, body, at in wrong:
         with pytest.raises(urllib.error.HTTPError) as e:
-            ask(**body)
+            ask(body, at)
         assert e.value.code == status
     s.shutdown()
+    other.shutdown()
     with pytest.raises(GraphError):
-        server(spark, graph_of(spark, nodes), rules, "0.0.0.0")
+        server(spark, graph_of(spark, nodes), rules, "me", "0.0.0.0")
 
 
 def test_cache_and_bundle(spark, tmp_path):
