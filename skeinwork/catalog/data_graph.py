@@ -254,7 +254,7 @@ SQL = {
           CASE WHEN c_acctbal < 0 THEN 1 ELSE 2 END::BIGINT AS n_evidence, c_mktsegment AS segment FROM customer""",
     "merge_warnings": """
         SELECT 'source_disagreement' AS code, '''table:' || lower(c_name) || ''' differs by source in node.name: ''' || c_name || ''' vs ''' || upper(c_mktsegment) || '''' AS message, 'table:' || lower(c_name) AS subject_id FROM customer WHERE c_acctbal < 0
-        UNION ALL SELECT 'source_disagreement', 'Sources disagree on aspect ''segment'' for ''table:' || lower(c_name) || '''', 'table:' || lower(c_name) FROM customer WHERE c_acctbal < 0""",
+        UNION ALL SELECT 'source_disagreement', '''table:' || lower(c_name) || ''' differs by source in aspect ''segment''', 'table:' || lower(c_name) FROM customer WHERE c_acctbal < 0""",
     "merge_edges": """
         SELECT 'part:' || l_partkey AS source_id, 'supplier:' || l_suppkey AS target_id, min(l_returnflag) AS label,
           (min(l_returnflag) <> max(l_returnflag))::INT::BIGINT AS n_warnings FROM lineitem GROUP BY l_partkey, l_suppkey""",
