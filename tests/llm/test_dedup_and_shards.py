@@ -226,3 +226,24 @@ def test_empty_tables(spark):
     assert substring_dedup.without_repeats(none).count() == 0
     assert sharding.shard(none)[0].count() == 0
     assert url_filters.judged_urls(none).count() == 0
+
+
+def test_the_array_decides_which_strings_are_equal(monkeypatch):
+    """Without a hash that tells strings apart the result stands; without the array's order it doesn't."""
+    import numpy as np
+
+    rng = random.Random(8)
+    core = bytes(rng.randrange(97, 123) for _ in range(70))
+    pieces = [core[a:b] + bytes(rng.randrange(97, 123) for _ in range(6)) for a, b in ((0, 60), (5, 70), (10, 66), (0, 55), (3, 70))]
+    sizes, own = np.array([len(p) for p in pieces]), np.array([4, 3, 9, 1, 7])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    want = np.full(len(data), -1)
+    for p, at in zip(pieces, starts.tolist()):
+        for s in range(len(p) - 49):
+            want[at + s] = min(o for q, o in zip(pieces, own.tolist()) if p[s : s + 50] in q)
+    block = np.zeros(len(pieces), np.int64)
+    monkeypatch.setattr(substring_dedup, "range_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    assert substring_dedup.run_minima(data, sizes, block, own, 50).tolist() == want.tolist()
+    monkeypatch.setattr(substring_dedup, "suffix_arrays", lambda symbols, offsets: np.arange(len(symbols)))
+    assert substring_dedup.run_minima(data, sizes, block, own, 50).tolist() != want.tolist()
