@@ -3,17 +3,19 @@
 Fixed cutoffs on shape metrics are replaced by fences per language and source. A metric's distribution
 is a log-bucket quantile sketch: a row per (lang, source, metric, bucket) with a count. Sketches merge
 by adding counts, exactly and in any order, so a lost task that runs again gives the same sketch, and a
-quantile has a relative error of at most (GAMMA - 1) / 2. A (lang, source) with few documents takes the merged
-sketch of its language or of the corpus. Fences rest on lower quantiles, so they stand while less than three
-quarters of a group is junk; and no fence is above that of the group's language, or of the corpus for metrics
-that don't hang on the language, so a source that is mostly or all junk can't set its own. The fences are then
+quantile has a relative error of at most (GAMMA - 1) / 2. The quantiles of a (lang, source) lean on the
+merged sketch of its language, and these on the corpus's, the less the more documents it has: no number of rows
+switches from one to the other. Fences rest on lower quantiles, so they stand while less than three
+quarters of a group is junk; and no fence is above those of language and corpus for metrics that don't hang on
+the language, or far above the language's median source for those that do, so a source that is mostly or all
+junk can't set its own, and a hot one can't set the others'. The fences are then
 joined to the documents as filters.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,14 @@ from pyspark.sql import types as T
 from skeinwork.llm.shared import cut, plain
 from skeinwork.llm.words import WHITE, chunks, lines, range_hashes, texts, windows, words
 
-GAMMA = 1.02
-#: A group needs so many documents for fences of its own.
-LEAST = 200
-#: metric -> least distance of the fence from the first quartile; a fence is q25 + REACH * (q25 - q10), or that distance if it is larger.
-MARGINS = {"symbol_ratio": 0.25, "dup_line_ratio": 0.35, "long_word": 8.0}
-REACH = 8.0
+GAMMA = 1.005
+#: The merged sketch weighs in a group's quantiles like so many documents of its own.
+PRIOR = 200
+#: metric -> least distance of the fence from the first quartile, for groups without a spread; a fence is q25 + REACH * (q25 - q10), or that distance if it is larger.
+MARGINS = {"symbol_ratio": 0.25, "dup_line_ratio": 0.35, "long_word": 1.0}
+REACH = 12.0
+#: In metrics that hang on the language a source's fence is at most so many times its language's median fence over sources.
+SLACK = 1.25
 #: Metrics that mean the same in every language; word length doesn't.
 COMMON = ("symbol_ratio", "dup_line_ratio")
 #: Broadcast the fences only up to so many groups; beyond, the join is shuffled and skew-split.
@@ -125,32 +129,36 @@ def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
     return run.groupBy(*keys, "metric").agg(*[at(q / 100).alias(f"q{q}") for q in (10, 25, 50, 75)], F.max("total").alias("total"))
 
 
-def _fence(q: Callable[[str], Column]) -> Column:
+def _fence(at: Column, spread: Column) -> Column:
     margin = F.create_map(*[F.lit(x) for pair in MARGINS.items() for x in pair])[F.col("metric")]
-    return q("q25") + F.greatest(margin, REACH * (q("q25") - q("q10")))
+    return at + F.greatest(margin, REACH * spread)
 
 
-def _bounds(sketch: DataFrame, own: DataFrame, *keys: str) -> DataFrame:
-    """Quantiles of coarser groups, and ``bound``: the smaller of the merged fence and the sources' median fence, for which a hot source counts once."""
-    even = own.select(*keys, "metric", _bucket(_fence(F.col)).alias("bucket")).groupBy(*keys, "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    even = quantiles(even, *keys).select(*[F.col(c).alias(f"e_{c}") for c in (*keys, "metric", "q50")])
-    found = quantiles(merged(sketch, *keys), *keys)
-    same = [found[c].eqNullSafe(even[f"e_{c}"]) for c in (*keys, "metric")]
-    return found.join(even, same).select(*keys, "metric", "q10", "q25", "total", F.least(_fence(F.col), "e_q50").alias("bound"))
+def _middle(fenced: DataFrame, *keys: str) -> DataFrame:
+    """The sources' median fence per coarser group, for which a hot source counts once; from a sketch, too."""
+    counts = fenced.select(*keys, "metric", _bucket(F.col("fence")).alias("bucket")).groupBy(*keys, "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return quantiles(counts, *keys).select(*[F.col(c).alias(f"m_{c}") for c in (*keys, "metric", "q50")])
 
 
 def fences(stats: DataFrame) -> DataFrame:
     """lang, source and a column per metric: the adaptive upper threshold."""
     sketch = cut(sketches(stats), "quality-sketch")
-    own = quantiles(sketch, "lang", "source")
-    lang = _bounds(sketch, own, "lang").select("lang", "metric", *[F.col(c).alias(f"l_{c}") for c in ("q10", "q25", "total", "bound")])
-    whole = _bounds(sketch, own).select("metric", *[F.col(c).alias(f"w_{c}") for c in ("q10", "q25", "bound")])
-    same = lambda a, b, *cols: [a[c].eqNullSafe(b[c]) for c in cols]
-    both = own.join(lang, same(own, lang, "lang", "metric"), "left").select(own["*"], "l_q10", "l_q25", "l_total", "l_bound")
-    both = both.join(F.broadcast(whole), "metric", "left")  # one row per metric
-    pick = lambda q: F.when(F.col("total") >= LEAST, F.col(q)).when(F.col("l_total") >= LEAST, F.col(f"l_{q}")).otherwise(F.col(f"w_{q}"))
-    fence = F.least(_fence(pick), "l_bound", F.when(F.col("metric").isin(*COMMON), F.col("w_bound")))  # least() skips nulls
-    return both.groupBy("lang", "source").pivot("metric", list(MARGINS)).agg(F.max(fence))
+    own, lang, whole = (quantiles(merged(sketch, *keys), *keys) for keys in (("lang", "source"), ("lang",), ()))
+    named = lambda df, to, *keys: df.select(*[F.col(c).alias(f"{to}_{c}") for c in (*keys, "metric", "q10", "q25", "total")])
+    both = own.join(named(lang, "l", "lang"), F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
+    both = both.join(F.broadcast(named(whole, "w")), F.col("metric") == F.col("w_metric"))  # one row per metric
+    # quartile and spread lean on the coarser group's with the weight of PRIOR documents; a language has its own place in metrics that hang on it
+    lean = lambda n, own, to: (F.col(n) * own + PRIOR * to) / (F.col(n) + PRIOR)
+    spread = lambda to: F.col(f"{to}q25") - F.col(f"{to}q10")
+    l_at = F.when(F.col("metric").isin(*COMMON), lean("l_total", F.col("l_q25"), F.col("w_q25"))).otherwise(F.col("l_q25"))
+    l_spread = lean("l_total", spread("l_"), spread("w_"))
+    fence = _fence(lean("total", F.col("q25"), l_at), lean("total", spread(""), l_spread))
+    fenced = both.select("lang", "source", "metric", fence.alias("fence"), _fence(l_at, l_spread).alias("l_fence"), _fence(F.col("w_q25"), spread("w_")).alias("w_fence"))
+    by_lang, by_all = _middle(fenced, "lang"), _middle(fenced).withColumnsRenamed({"m_metric": "a_metric", "m_q50": "a_q50"})
+    found = fenced.join(by_lang, F.col("lang").eqNullSafe(F.col("m_lang")) & (F.col("metric") == F.col("m_metric"))).join(F.broadcast(by_all), F.col("metric") == F.col("a_metric"))
+    common = F.least("l_fence", "m_q50", "w_fence", "a_q50")
+    bound = F.least("fence", F.when(F.col("metric").isin(*COMMON), common).otherwise(SLACK * F.col("m_q50")))
+    return found.groupBy("lang", "source").pivot("metric", list(MARGINS)).agg(F.max(bound))
 
 
 def _rejections(columns: list[str], min_words: int, max_repeat_percent: int) -> tuple[Column, Column]:

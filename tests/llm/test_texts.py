@@ -67,6 +67,14 @@ def test_a_source_full_of_junk_cannot_set_its_own_fence(spark, share):
     assert {i for i, kept in got.items() if not kept} == bad
 
 
+def test_word_fences_follow_each_groups_spread(spark):
+    groups = {("en", "narrow"): (5000, 1, 100), ("en", "middle"): (5000, 1, 1000), ("en", "wide"): (5000, 3, 1000), ("de", "middle"): (9000, 1, 1000)}
+    rows = [(i, at + step * (i % n), *key) for key, (at, step, n) in groups.items() for i in range(2000)]
+    stats = spark.createDataFrame(rows, "id long, word_chars long, lang string, source string").selectExpr("*", "1000L n_words", "0L n_symbols", "0L n_dup_lines", "0L n_repeat_words")
+    got = {(r.lang, r.source): r.long_word for r in quality.fences(stats).collect()}
+    assert 6 <= got["en", "narrow"] < got["en", "middle"] - 0.5 < got["en", "wide"] - 1 and got["en", "wide"] <= 1.27 * got["en", "middle"] and 10 < got["de", "middle"] < 12
+
+
 def test_sketches_merge_exactly(spark):
     stats = spark.range(500).selectExpr("id", "'en' lang", "if(id % 2 = 0, 'a', 'b') source", "100L n_words", "id word_chars", "0L n_symbols", "0L n_dup_lines", "0L n_repeat_words")
     both = {tuple(r) for r in quality.merged(quality.sketches(stats), "lang").collect()}
