@@ -153,7 +153,7 @@ def fences(stats: DataFrame) -> DataFrame:
     l_at = F.when(F.col("metric").isin(*COMMON), lean("l_total", F.col("l_q25"), F.col("w_q25"))).otherwise(F.col("l_q25"))
     l_spread = lean("l_total", spread("l_"), spread("w_"))
     fence = _fence(lean("total", F.col("q25"), l_at), lean("total", spread(""), l_spread))
-    fenced = both.select("lang", "source", "metric", fence.alias("fence"), _fence(l_at, l_spread).alias("l_fence"), _fence(F.col("w_q25"), spread("w_")).alias("w_fence"))
+    fenced = cut(both.select("lang", "source", "metric", fence.alias("fence"), _fence(l_at, l_spread).alias("l_fence"), _fence(F.col("w_q25"), spread("w_")).alias("w_fence")), "quality-group-fences")
     by_lang, by_all = _middle(fenced, "lang"), _middle(fenced).withColumnsRenamed({"m_metric": "a_metric", "m_q50": "a_q50"})
     found = fenced.join(by_lang, F.col("lang").eqNullSafe(F.col("m_lang")) & (F.col("metric") == F.col("m_metric"))).join(F.broadcast(by_all), F.col("metric") == F.col("a_metric"))
     common = F.least("l_fence", "m_q50", "w_fence", "a_q50")
