@@ -8,7 +8,7 @@ the tokenizer itself, in batches.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,6 +25,15 @@ WORDS = re.compile(r"[^ \t-\r]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+class _Cache(dict):
+    """ids of words; those that aren't kept come from ``others``."""
+
+    others: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.others[word]
+
+
 class WordTokenizer:
     """Encodes texts to ids; ``path`` is a file of the tokenizers library whose words end in ``</w>``."""
 
@@ -40,7 +49,7 @@ class WordTokenizer:
         self.ends = np.zeros(65536, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self.words = _Cache()
         self.parts: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
@@ -64,8 +73,11 @@ class WordTokenizer:
         return found
 
     def _encode_words(self, missing: list[str]) -> dict[str, bytes]:
-        simple = [w for w in missing if SIMPLE.fullmatch(w) and not any(s in w for s in self.special)]
-        split = [PARTS.findall(w.lower()) for w in simple]
+        together = " ".join(missing)
+        special = [s for s in self.special if s in together]
+        simple = [w for w in missing if SIMPLE.fullmatch(w) and not (special and any(s in w for s in special))]
+        # a word of letters is one part
+        split = [(low,) if low.isalpha() else PARTS.findall(low) for low in map(str.lower, simple)]
         fresh = list(set(chain.from_iterable(split)).difference(self.parts))
         ids = self._encode_parts(fresh)
         if len(self.parts) < PART_CACHE:
@@ -73,7 +85,7 @@ class WordTokenizer:
             ids = self.parts
         else:
             ids |= {p: self.parts[p] for p in set(chain.from_iterable(split)).intersection(self.parts)}
-        found = {word: b"".join(map(ids.__getitem__, own)) for word, own in zip(simple, split)}
+        found = {word: ids[own[0]] if len(own) == 1 else b"".join(map(ids.__getitem__, own)) for word, own in zip(simple, split)}
         odd = list(set(missing).difference(found))
         found |= {word: ids.tobytes() for word, ids in zip(odd, self._raw(odd) if odd else ())}
         if len(self.words) < WORD_CACHE:
@@ -96,10 +108,6 @@ class WordTokenizer:
     def _flush(self, held: list[list[str]]) -> Iterator[np.ndarray]:
         all_words = set().union(*held) if held else set()
         missing = list(all_words.difference(self.words))
-        known: Mapping[str, bytes] = self.words
-        if missing:
-            found = self._encode_words(missing)
-            if len(self.words) >= WORD_CACHE:
-                known = {w: self.words[w] for w in all_words.intersection(self.words)} | found
+        self.words.others = self._encode_words(missing) if missing else {}
         for words in held:
-            yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u2").astype(np.uint32)
+            yield np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u2").astype(np.uint32)

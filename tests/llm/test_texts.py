@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from skeinwork.llm import packing, pii, quality, sampled_pieces, tagger, token_counts
+from skeinwork.llm import packing, pii, quality, sampled_pieces, tagger, token_counts, word_tokens
 from skeinwork.llm.word_tokens import WordTokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -156,6 +156,27 @@ def test_words_encode_as_whole_texts():
         assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_letters_are_not_split_and_full_caches_encode_the_same(monkeypatch):
+    from tokenizers import Tokenizer
+
+    class Counted:
+        seen = []
+
+        def findall(self, text, pattern=word_tokens.PARTS):
+            self.seen.append(text)
+            return pattern.findall(text)
+
+    monkeypatch.setattr(word_tokens, "PARTS", Counted())
+    monkeypatch.setattr(word_tokens, "WORD_CACHE", 3)
+    monkeypatch.setattr(word_tokens, "PART_CACHE", 2)
+    t, encoder = Tokenizer.from_file(WORDS), WordTokenizer(WORDS)
+    texts = ["hello World naïve İstanbul Ĳssel ŉa", "a<|endoftext|>b it's", "hello two, World three", "two, four hello ABC"]
+    for text in texts:
+        (ids,) = encoder.encode(pa.array([text]))
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+    assert set(Counted.seen) == {"i̇stanbul", "it's", "two,"} and len(encoder.words) == 6
+
+
 def test_best_fit():
     rng = np.random.default_rng(1)
     lengths = sorted(rng.integers(1, 101, 400).tolist(), reverse=True)
