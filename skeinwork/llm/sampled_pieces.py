@@ -18,8 +18,10 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,20 @@ from skeinwork.llm.words import mixed
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
-CHUNK_CHARS = 3_000_000
+#: More at once asks for fewer lattices, as texts share units, but for more memory.
+CHUNK_CHARS = 10_000_000
 #: A choice whose alternatives have less mass in all is taken as certain.
 CERTAIN = 1e-9
 #: Rows that are handed on at once.
 OUT_ROWS = 256
-_TOP_BITS = 20
+#: Units that are walked at once, and units of a row whose sets are looked at first.
+BLOCK = 1 << 15
+FIRST_SETS = 32
+#: Units whose rows are searched at once.
+SEARCHED = 1 << 17
+#: Below it, a set would need a uniform number nearer to 1 than 53 bits can be.
+_LEAST_LOG = -37.0
+_TOP_BITS = 19
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -73,33 +83,53 @@ class Vocabulary:
         sums, down = _rank_hashes(points)
         h = mixed((sums[ends] - sums[ends - lengths]) * down[ends - lengths])
         order = np.argsort(h)
-        self.hashes, self.ids, self.weights = h[order], np.array(usual)[order], weight[order]
+        self.hashes, self.ids, self.weights = h[order], np.array(usual, np.int32)[order], weight[order]
         top = (self.hashes >> np.uint64(64 - _TOP_BITS)).astype(np.int64)
         self.first = np.searchsorted(top, np.arange((1 << _TOP_BITS) + 1)).astype(np.int32)
+        #: By a hash's top bits: 1 if it may be a piece, 2 if it may be the beginning of a longer one.
+        self.flags = (self.first[1:] > self.first[:-1]).astype(np.uint8)
+        for length in range(1, int(lengths.max())):
+            begin = (ends - lengths)[lengths > length]
+            more = mixed((sums[begin + length] - sums[begin]) * down[begin])
+            self.flags[(more >> np.uint64(64 - _TOP_BITS)).astype(np.int64)] |= 2
         self.longest = int(lengths.max())
-        self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
+        self.bytes_of = np.full(size, None, object)
+        for i, p in zip(usual, pieces):
+            self.bytes_of[i] = p.replace(MARK, " ").encode("utf-8", "surrogatepass")
+        for value, i in enumerate(self.byte_ids.tolist()):
+            self.bytes_of[i] = bytes([value])
         self.byte_weight = float(-np.log(size + 3.0) - norm)
 
+    def words(self, text: str) -> list[str]:
+        """The units without their first mark."""
+        if text and not self.crossing and text[0] != " " != text[-1] and "  " not in text and MARK not in text:
+            return text.split(" ")
+        return [unit[1:] for unit in self.units(text)]
+
     def units(self, text: str) -> list[str]:
         """The text with marks for spaces and one before it, cut where no piece can cross."""
         marked = MARK + text.replace(" ", MARK) if text else ""
         return [marked] if self.crossing and marked else _UNIT.findall(marked)
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are pieces, and where those are."""
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The text of a segmentation's ids in UTF-8, as the model decodes it: pieces in a row, without the first space."""
+        return b"".join(self.bytes_of[ids].tolist()).removeprefix(b" ")
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, where those are, and which may go on to a longer piece."""
         top = (h >> np.uint64(64 - _TOP_BITS)).astype(np.int64)
-        at = self.first[top]
-        open_ = np.flatnonzero(self.first[top + 1] > at)
-        at, end, found, spots = at[open_], self.first[top[open_] + 1], [], []
+        flags = self.flags[top]
+        open_ = np.flatnonzero(flags & 1)
+        at, end, found, spots = self.first[top[open_]], self.first[top[open_] + 1], [], []
         while len(open_):
             hit = self.hashes[at] == h[open_]
             found.append(open_[hit])
             spots.append(at[hit])
             more = ~hit & (at + 1 < end)
             open_, at, end = open_[more], at[more] + 1, end[more]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(found), np.concatenate(spots)
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *found]), np.concatenate([none, *spots]), np.flatnonzero(flags & 2)
 
 
 @lru_cache(maxsize=2)
@@ -114,119 +144,225 @@ class Lattices:
         self.v = v
         lengths = np.array([len(u) for u in units], np.int64)
         self.root = np.concatenate([[0], np.cumsum(lengths)])
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        degree, parts = [], [[np.zeros(0, kind)] for kind in (np.int32, np.int32, np.int32, float, float)]
+        begin = 0
+        while begin < len(units):  # in parts whose arrays stay in a processor's cache
+            end = max(int(np.searchsorted(self.root, self.root[begin] + BLOCK, "right")) - 1, begin + 1)
+            own, *found = self._edges("".join(units[begin:end]), lengths[begin:end])
+            degree.append(own)
+            for k, (column, x) in enumerate(zip(parts, found)):
+                column.append((x + self.root[begin]).astype(np.int32) if k < 2 else x)
+            begin = end
+        self.source, self.target, self.piece, self.log_p, self.keys = (np.concatenate(parts.pop(0)) for _ in range(5))
+        self.head = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *degree]))])
+        self.keys += self.source
+        self._chains(len(units))
+        # ids: the only one of an edge, or -1 - a place among the code points of several bytes
+        self.only = self.piece.copy()
+        odd = np.flatnonzero(self.piece < 0)
+        codes, where = np.unique(-1 - self.piece[odd], return_inverse=True)
+        self.several = [v.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in codes.tolist()]
+        self.only[odd] = np.array([ids[0] if len(ids) == 1 else -1 - k for k, ids in enumerate(self.several)], np.int32)[where]
+
+    def _edges(self, text: str, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Edges of the units that ``text`` joins: how many each place has, then their sources, targets, pieces, log-probabilities and sums of probabilities."""
+        v = self.v
+        root = np.concatenate([[0], np.cumsum(lengths)])
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(points)
         sums, down = _rank_hashes(points)
-        stop = np.repeat(self.root[1:], lengths)  # a unit's end
+        stop = np.repeat(root[1:], lengths)  # a unit's end
         at_all = np.arange(n)
-        source, piece, weight, target = [], [], [], []
-        covered = np.zeros(n, bool)
-        for length in range(1, v.longest + 1):
-            at = at_all[at_all + length <= stop]
-            h = mixed((sums[at + length] - sums[at]) * down[at])
-            hit, spot = v.find(h)
-            at = at[hit]
+        covered, degree = np.zeros(n, bool), np.zeros(n, np.int64)
+        source, rank, piece, weight, target = [], [], [], [], []
+
+        def add(at: np.ndarray, found: np.ndarray, weights: np.ndarray, length: int) -> None:
             source.append(at)
-            piece.append(v.ids[spot])
-            weight.append(v.weights[spot])
+            rank.append(degree[at])
+            piece.append(found)
+            weight.append(weights)
             target.append(at + length)
+            degree[at] += 1
+
+        at = at_all
+        for length in range(1, v.longest + 1):
+            at = at[at + length <= stop[at]]
+            if not len(at):
+                break
+            h = mixed((sums[at + length] - sums[at]) * down[at])
+            hit, spot, longer = v.find(h)
+            add(at[hit], v.ids[spot], v.weights[spot], length)
             if length == 1:
-                covered[at] = True
-        bare = np.flatnonzero(~covered)  # a code point without a piece: its bytes; -1 - code point stands for them
-        n_bytes = 1 + (points[bare] > 0x7F) + (points[bare] > 0x7FF) + (points[bare] > 0xFFFF)
-        source.append(bare)
-        piece.append(-1 - points[bare].astype(np.int64))
-        weight.append(v.byte_weight * n_bytes)
-        target.append(bare + 1)
-        source, target = np.concatenate(source), np.concatenate(target)
-        piece, weight = np.concatenate(piece), np.concatenate(weight)
+                covered[at[hit]] = True
+                bare = np.flatnonzero(~covered)  # a code point without a piece: its bytes; -1 - code point stands for them
+                n_bytes = 1 + (points[bare] > 0x7F).astype(np.int64) + (points[bare] > 0x7FF) + (points[bare] > 0xFFFF)
+                add(bare, -1 - points[bare].astype(np.int32), v.byte_weight * n_bytes, 1)
+            at = at[longer]
+        # edges by source, then target
+        head = np.concatenate([[0], np.cumsum(degree)])
+        place = head[np.concatenate(source)] + np.concatenate(rank)
+        sources, targets, pieces, edge_weight = (np.empty(len(place), kind) for kind in (np.int64, np.int64, np.int32, float))
+        for column, parts in ((sources, source), (targets, target), (pieces, piece), (edge_weight, weight)):
+            column[place] = np.concatenate(parts)
         # backward sums, by distance from the unit's end
         away = stop - at_all
-        order = np.lexsort((source, away[source]))
-        s, t, w = source[order], target[order], weight[order]
-        ends = np.repeat(self.root[1:], lengths)[s]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-        level = np.searchsorted(away[s[first]], np.arange(1, int(lengths.max(initial=0)) + 2)) if len(s) else np.zeros(1, np.int64)
-        beta = np.zeros(n + 1)
+        by_away = np.argsort(away.astype(np.uint16) if lengths.max() < 1 << 16 else away, kind="stable")
+        own = degree[by_away]
+        first = np.concatenate([[0], np.cumsum(own)])
+        edges = np.repeat(head[by_away] - first[:-1], own) + np.arange(len(place))
+        w, last = edge_weight[edges], np.repeat(stop[by_away], own)
+        t = targets[edges]
+        inner, t = t < last, np.minimum(t, n - 1)
+        level = np.searchsorted(away[by_away], np.arange(1, int(lengths.max()) + 2))
+        beta = np.zeros(n)
         for a, b in zip(level[:-1].tolist(), level[1:].tolist()):
-            lo, hi = first[a], first[b] if b < len(first) else len(s)
-            x = w[lo:hi] + np.where(t[lo:hi] == ends[lo:hi], 0.0, beta[np.minimum(t[lo:hi], n)])
-            beta[s[first[a:b]]] = np.logaddexp.reduceat(x, first[a:b] - lo)
-        order = np.lexsort((target, source))
-        self.source, self.target, self.piece = source[order], target[order], piece[order]
-        inner = np.where(self.target == stop[self.source], 0.0, beta[np.minimum(self.target, n)]) if n else np.zeros(0)
-        self.log_p = weight[order] + inner - beta[self.source]
-        self.stop = stop
-        p = np.exp(self.log_p)
-        total = np.cumsum(p)
-        head = np.searchsorted(self.source, at_all)
-        before = np.where(head > 0, total[head - 1], 0.0) if n else np.zeros(0)
-        cum = total - before[self.source]
-        cum[np.append(head[1:], len(p))[:n] - 1] = 1.0
-        self.keys = self.source + np.minimum(cum, 1.0)
+            if b > a:
+                lo, hi = first[a], first[b]
+                x = w[lo:hi] + np.where(inner[lo:hi], beta[t[lo:hi]], 0.0)
+                beta[by_away[a:b]] = np.logaddexp.reduceat(x, first[a:b] - lo)
+        log_p = edge_weight - beta[sources]
+        log_p[edges] += np.where(inner, beta[t], 0.0)
+        total = np.cumsum(np.exp(log_p))
+        cum = total - np.concatenate([[0.0], total])[head[sources]]
+        cum[head[1:] - 1] = 1.0
+        return degree, sources, targets, pieces, log_p, np.minimum(cum, 1.0)
+
+    def _chains(self, n_units: int) -> None:
+        """Each place's likeliest edge, and for each unit the chain of those: its edges, their number, log-probability and probability."""
+        self.best = np.zeros(len(self.head) - 1, np.int32)
+        if len(self.best):
+            top = np.flatnonzero(self.log_p == np.repeat(np.maximum.reduceat(self.log_p, self.head[:-1]), np.diff(self.head)))
+            self.best[self.source[top][::-1]] = top[::-1]  # the first of equals
+        self.chain_log_p, self.chain_p, self.chain_size, steps = np.zeros(n_units), np.ones(n_units), np.zeros(n_units, np.int32), []
+        live, node = np.arange(n_units), self.root[:-1]
+        while len(live):
+            edge = self.best[node]
+            self.chain_log_p[live] += self.log_p[edge]
+            self.chain_p[live] *= np.exp(self.log_p[edge])
+            self.chain_size[live] += 1
+            steps.append((live, edge))
+            node = self.target[edge]
+            more = node < self.root[live + 1]
+            live, node = live[more], node[more]
+        ends = np.cumsum(self.chain_size, dtype=np.int64)
+        self.chain_at = ends - self.chain_size
+        self.chain_edges = np.zeros(int(self.chain_size.sum()), np.int32)
+        for step, (live, edge) in enumerate(steps):
+            self.chain_edges[self.chain_at[live] + step] = edge
+        self.chain_log_p = np.minimum(self.chain_log_p, 0.0)
 
     def sample(self, units: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A segmentation of each unit: its log-probability, its number of edges, and all edges in order."""
-        n = len(units)
-        order = np.argsort(units, kind="stable")  # near units' searches share the cache
-        units, salts = units[order], salts[order]
-        node, end = self.root[units], self.root[units + 1]
-        log_p, count = np.zeros(n), np.zeros(n, np.int64)
-        live, steps = np.flatnonzero(node < end), []
+        """A segmentation of each unit: its log-probability, its number of edges, and all edges in order.
+
+        A unit's first number says how far it follows its chain: all the way, below the chain's probability. Units
+        that leave it take another edge there and walk on, with a number a step.
+        """
+        u = _unit_interval(salts)
+        log_p, counts = self.chain_log_p[units], self.chain_size[units]
+        off = np.flatnonzero(u >= self.chain_p[units])
+        off = off[np.argsort(units[off], kind="stable")]  # near units' walks share the cache
+        walks = [self._walk(units[some], salts[some], u[some]) for some in np.split(off, range(BLOCK, len(off), BLOCK)) if len(some)]
+        if walks:
+            log_p[off], counts[off] = np.concatenate([w[0] for w in walks]), np.concatenate([w[1] for w in walks])
+        edge_at = np.cumsum(counts, dtype=np.int64) - counts
+        edges = np.repeat(self.chain_at[units] - edge_at, counts)
+        edges += np.arange(len(edges))
+        edges = self.chain_edges.take(edges, mode="clip")
+        for walk, begin in zip(walks, range(0, len(off), BLOCK)):
+            begins = edge_at[off[begin : begin + BLOCK]]
+            for step, (some, edge) in enumerate(walk[2]):
+                edges[begins[some] + step] = edge
+        return log_p, counts, edges
+
+    def _walk(self, units: np.ndarray, salts: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """For ascending units that leave their chain as soon as its probability so far is at most ``leave``: log-probabilities, numbers of edges and steps."""
+        lo, hi = self.head[self.root[units[0]]], self.head[self.root[units[-1] + 1]]
+        keys, source, target, weight = self.keys[lo:hi], self.source[lo:hi], self.target[lo:hi], self.log_p[lo:hi]
+        log_p, counts, steps = np.zeros(len(units)), np.zeros(len(units), np.int32), []
+        live, node, end, salt = np.arange(len(units)), self.root[units], self.root[units + 1], salts
+        followed, on = np.ones(len(units)), np.ones(len(units), bool)
         while len(live):
-            at = node[live]
-            u = (mixed(salts[live] + count[live].astype(np.uint64) * _M) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.minimum(np.searchsorted(self.keys, at + np.maximum(u, 2.0**-53)), len(self.keys) - 1)
-            edge = np.where(self.source[edge] == at, edge, edge - 1)  # rounding at a node's last key
-            log_p[live] += self.log_p[edge]
-            count[live] += 1
-            steps.append((live, edge))
-            node[live] = self.target[edge]
-            live = live[self.target[edge] < end[live]]
-        back_p, back_count = np.empty(n), np.empty(n, np.int64)
-        back_p[order], back_count[order] = np.minimum(log_p, 0.0), count
-        offsets = np.concatenate([[0], np.cumsum(back_count)])
-        edges = np.zeros(offsets[-1], np.int64)
-        for k, (who, edge) in enumerate(steps):
-            edges[offsets[order[who]] + k] = edge
-        return back_p, back_count, edges
-
-    def sample_other(self, unit: int, salt: int, barred: list[np.ndarray]) -> tuple[float, np.ndarray]:
-        """A segmentation of one unit that is none of ``barred`` (as edges), with its log-probability among all."""
-        node, end, edges = int(self.root[unit]), int(self.root[unit + 1]), []
-        while node < end:
-            lo, hi = np.searchsorted(self.source, [node, node + 1])
-            free = np.exp(self.log_p[lo:hi])
-            for b in barred:  # those that began as this one
-                free[b[len(edges)] - lo] -= np.exp(self.log_p[b[len(edges) :]].sum())
-            free = np.cumsum(np.maximum(free, 0.0))
-            edge = int(lo + min(np.searchsorted(free, _uniform(salt + len(edges)) * free[-1]), hi - lo - 1))
-            barred = [b for b in barred if b[len(edges)] == edge]
-            edges.append(edge)
-            node = int(self.target[edge])
-        return min(float(self.log_p[edges].sum()), 0.0), np.array(edges, np.int64)
+            salt = salt + _M
+            u = _unit_interval(salt)
+            best = self.best[node] - lo
+            p = np.exp(weight[best])
+            stays = on & (leave < followed * p)
+            leaves = on & ~stays
+            u = np.where(leaves, u * (1.0 - p), u)
+            u += np.where(leaves & (u >= keys[best] - node - p), p, 0.0)  # past the chain's edge
+            edge = np.minimum(np.searchsorted(keys, node + u), hi - lo - 1)
+            wrong = np.flatnonzero(source[edge] != node)  # u was rounded away: the last edge of the node before; or up: the first of the next
+            edge[wrong] = np.where(u[wrong] < 0.5, self.head[node[wrong]], self.head[node[wrong] + 1] - 1) - lo
+            edge = np.where(stays, best, edge)
+            log_p[live] += weight[edge]
+            counts[live] += 1
+            steps.append((live, (edge + lo).astype(np.int32)))
+            node = target[edge]
+            more = np.flatnonzero(node < end)
+            followed = (followed * p)[more]
+            live, node, end, salt, on, leave = live[more], node[more], end[more], salt[more], stays[more], leave[more]
+        return np.minimum(log_p, 0.0), counts, steps
+
+    def sample_others(self, units: np.ndarray, salts: np.ndarray, barred: list[list[np.ndarray]]) -> list[tuple[float, np.ndarray]]:
+        """For each unit a segmentation that is none of its ``barred`` (as edges), with its log-probability among all."""
+        job = np.repeat(np.arange(len(units)), [len(b) for b in barred])
+        flat = [b for own in barred for b in own]
+        sizes = np.array([len(b) for b in flat], np.int64)
+        at = np.cumsum(sizes) - sizes
+        bars = np.concatenate(flat).astype(np.int64)
+        mass = np.exp(np.concatenate([np.cumsum(self.log_p[b][::-1])[::-1] for b in flat]))  # of all that goes on as a barred one from here
+        live, node, end, found = np.arange(len(units)), self.root[units], self.root[units + 1], [[] for _ in units]
+        bar = np.arange(len(flat))  # barred ones that began as their job's edges so far
+        row = np.zeros(len(units), np.int64)
+        for step in count():
+            lo, hi = self.head[node], self.head[node + 1]
+            edges = lo[:, None] + np.arange(int((hi - lo).max()))
+            free = np.where(edges < hi[:, None], np.exp(self.log_p[np.minimum(edges, len(self.log_p) - 1)]), 0.0)
+            row[live] = np.arange(len(live))
+            who, own = row[job[bar]], at[bar] + step
+            np.subtract.at(free, (who, bars[own] - lo[who]), mass[own])
+            free = np.cumsum(np.maximum(free, 0.0), axis=1)
+            u = (mixed(salts[live] + np.uint64(step)).astype(np.float64) + 1) / (2.0**64 + 2)
+            edge = lo + np.minimum((free < (u * free[:, -1])[:, None]).sum(axis=1), hi - lo - 1)
+            for j, e in zip(live.tolist(), edge.tolist()):
+                found[j].append(e)
+            bar = bar[bars[own] == edge[who]]
+            node = self.target[edge]
+            more = node < end
+            if not more.any():
+                break
+            stays = np.zeros(len(units), bool)
+            stays[live[more]] = True
+            bar = bar[stays[job[bar]]]
+            live, node, end = live[more], node[more], end[more]
+        return [(min(float(self.log_p[edges].sum()), 0.0), np.array(edges, np.int32)) for edges in found]
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of edges; an edge of a code point without a piece gives its bytes."""
-        found = self.piece[edges]
+        found = self.only[edges]
         if len(found) and found.min() < 0:
             parts, last = [], 0
             for k in np.flatnonzero(found < 0).tolist():
-                parts += [found[last:k], self.v.byte_ids[list(chr(-1 - int(found[k])).encode("utf-8", "surrogatepass"))]]
+                parts += [found[last:k], self.several[-1 - int(found[k])]]
                 last = k + 1
             found = np.concatenate([*parts, found[last:]])
-        return found.astype(np.int32)
-
-
-def _uniform(salt: int) -> float:
-    return (int(mixed(np.array([salt % 2**64], np.uint64))[0]) + 1) / (2**64 + 2)
+        return found
 
 
-def _below(z: np.ndarray, bound: float) -> np.ndarray:
+def _below(z: np.ndarray, bound: float | np.ndarray) -> np.ndarray:
     """Gumbels z conditioned to lie below ``bound``."""
     return -np.logaddexp(-bound, -z)
 
 
+def _unit_interval(salts: np.ndarray) -> np.ndarray:
+    return (mixed(salts) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def _uniform(salts: np.ndarray) -> np.ndarray:
+    """What the Gumbels of sets are made of."""
+    return _unit_interval(salts ^ np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 class _Path:
     """An emitted segmentation: log-probability and number of edges of each unit's choice, and all edges."""
 
@@ -243,78 +379,126 @@ class _Path:
 class _Search:
     """The search over one row's units."""
 
-    def __init__(self, units: np.ndarray, seed: int, k: int):
-        self.units, self.seed, self.k = units, seed, k
+    def __init__(self) -> None:
         self.heap: list[tuple] = []
         self.paths: list[_Path] = []
-        self.node: tuple | None = None
-
-    def salts(self, round_: int, begin: int) -> np.ndarray:
-        base = mixed(np.array([(self.seed + round_ * 0x632BE59BD9B4E019) % 2**64], np.uint64))[0]
-        return mixed(np.arange(begin, len(self.units), dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + base)
-
-    def push(self, path: _Path, begin: int, taken: tuple, taken_mass: float, round_: int) -> None:
-        """The rest of the node that ``path`` comes from, which fixed the units before ``begin`` and barred ``taken`` there."""
-        p = np.exp(path.log_p[begin:])
-        rest = 1.0 - p
-        if len(rest):
-            rest[0] -= taken_mass
-        prefix = np.cumsum(path.log_p) - path.log_p
-        open_ = np.flatnonzero(rest > CERTAIN)
-        if not len(open_):
-            return
-        mass = prefix[begin + open_] + np.log(rest[open_])
-        u = (mixed(self.salts(round_, begin)[open_] ^ np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        values = _below(mass - np.log(-np.log(np.clip(u, 2.0**-53, 1 - 2.0**-53))), path.value)
-        most = self.k + 1 - len(self.paths)
-        best = np.argsort(-values, kind="stable")[: max(most, 1)]
-        for b in best.tolist():
-            i = begin + int(open_[b])
-            barred = (*(taken if i == begin else ()), path.choice(i))
-            spent = (taken_mass if i == begin else 0.0) + float(p[i - begin])
-            heapq.heappush(self.heap, (-float(values[b]), len(self.paths), i, len(self.heap), barred, spent, path))
+
+
+def _sets(log_p: np.ndarray, prefix: np.ndarray, spent: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Free Gumbels of the sets that fall apart at each unit, -inf where there is none; a row of ``log_p`` begins at the first free unit."""
+    rest = 1.0 - np.exp(log_p)
+    rest[:, 0] -= spent
+    open_ = rest > CERTAIN
+    mass = prefix[:, None] + np.cumsum(log_p, axis=1) - log_p + np.log(np.where(open_, rest, 1.0))
+    return np.where(open_, mass - np.log(-np.log(np.clip(u, 2.0**-53, 1 - 2.0**-53))), -np.inf)
+
+
+def _push_all(jobs: list[tuple], row_at: np.ndarray, row_of: np.ndarray, log_p: np.ndarray, salts: np.ndarray, k: int) -> None:
+    """The rest of each job's node, whose member its path is: (row, search, path, first free unit, paths barred there, their mass, prefix).
+
+    The first sets of all rows are valued at once. A later set can only be among a row's best if its Gumbel is as
+    large as its prefix asks for; rows with such a set are valued whole.
+    """
+    rows = np.array([job[0] for job in jobs])
+    begin = row_at[rows] + np.array([job[3] for job in jobs])
+    left = row_at[rows + 1] - begin
+    spent, prefix = np.array([job[5] for job in jobs]), np.array([job[6] for job in jobs])
+    at = begin[:, None] + np.arange(FIRST_SETS)
+    inside = at < row_at[rows + 1][:, None]
+    at = np.where(inside, at, 0)
+    if len(log_p):
+        z = _sets(np.where(inside, log_p[at], 0.0), prefix, np.where(left > 0, spent, 0.0), _uniform(salts[at]))
+    else:
+        z = np.full(at.shape, -np.inf)
+    best = np.argsort(-z, axis=1, kind="stable")
+    ranked = np.take_along_axis(z, best, axis=1)
+    most = np.array([max(k + 1 - len(job[1].paths), 1) for job in jobs])
+    least = np.where(most > FIRST_SETS, -np.inf, ranked[np.arange(len(jobs)), np.minimum(most, FIRST_SETS) - 1])
+    total = np.cumsum(log_p)
+    before = total - log_p
+    asked, later = np.full(len(row_at) - 1, -np.inf), np.full(len(row_at) - 1, np.iinfo(np.int64).max)
+    some = np.flatnonzero(left > FIRST_SETS)
+    asked[rows[some]] = prefix[some] - before[begin[some]] - least[some] + 1e-6
+    later[rows[some]] = begin[some] + FIRST_SETS
+    before += np.repeat(asked, np.diff(row_at))
+    hit = np.flatnonzero(before > _LEAST_LOG)
+    hit = hit[hit >= later[row_of[hit]]]
+    hit = hit[1.0 - _uniform(salts[hit]) < np.exp(np.minimum(before[hit], 0.0))]
+    whole = set(row_of[hit].tolist())
+    for r, (row, search, path, first, taken, spent_r, prefix_r) in enumerate(jobs):
+        own, at = ranked[r], best[r]
+        if row in whole:
+            one = slice(begin[r], begin[r] + left[r])
+            every = _sets(log_p[None, one], prefix[r : r + 1], spent[r : r + 1], _uniform(salts[None, one]))[0]
+            at = np.argsort(-every, kind="stable")
+            own = every[at]
+        own, at = own[: most[r]], at[: most[r]]
+        for i, x in zip(at.tolist(), _below(own, path.value).tolist()):
+            if x == -np.inf:
+                break
+            barred = (*(taken if i == 0 else ()), path)
+            mass = (spent_r if i == 0 else 0.0) + float(np.exp(path.log_p[first + i]))
+            heapq.heappush(search.heap, (-x, len(search.paths), first + i, len(search.heap), barred, mass))
 
 
 def segmentations(rows: list[tuple[int, str]], v: Vocabulary, k: int, seed: int) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
     """For each (key, text): up to k of (ids, log-probability, perturbed log-probability, inclusion score)."""
-    index: dict[str, int] = {}
-    searches = []
-    for key, text in rows:
-        units = v.units(text)
-        own = np.array([index.setdefault(u, len(index)) for u in units], np.int64)
-        searches.append(_Search(own, int(mixed(np.array([(key * 0x9E3779B97F4A7C15 + seed) % 2**64], np.uint64))[0]), k))
-    lattices = Lattices(list(index), v)
+    index: dict[str, int] = defaultdict(count().__next__)
+    own = [np.fromiter(map(index.__getitem__, words), np.int32, len(words)) for words in (v.words(text) for _, text in rows)]
+    lattices = Lattices([MARK + word for word in index], v)
+    del index
+    seeds = mixed(np.array([(key * 0x9E3779B97F4A7C15 + seed) % 2**64 for key, _ in rows], np.uint64))
+    begin, size = 0, 0
+    for end, units in enumerate(own, 1):
+        size += len(units)
+        if size >= SEARCHED or end == len(own):
+            yield from _searched(own[begin:end], seeds[begin:end], lattices, k)
+            begin, size = end, 0
+
+
+def _searched(rows: list[np.ndarray], seeds: np.ndarray, lattices: Lattices, k: int) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
+    """The searches over rows of units, round by round for all at once."""
+    lengths = np.array([len(units) for units in rows], np.int64)
+    units = np.concatenate(rows)
+    row_at = np.concatenate([[0], np.cumsum(lengths)])
+    row_of = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+    place = (np.arange(len(units)) - np.repeat(row_at[:-1], lengths)).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    searches = [_Search() for _ in rows]
+    first_values = -np.log(-np.log((mixed(seeds).astype(np.float64) + 1) / (2.0**64 + 2)))
     for round_ in range(k):
-        jobs = []
-        for s in searches:
-            if round_ == 0:
-                jobs.append((s, 0))
-            elif s.heap:
-                s.node = heapq.heappop(s.heap)
-                jobs.append((s, s.node[2]))
-        if not jobs:
+        bases = mixed(seeds + np.uint64(round_ * 0x632BE59BD9B4E019 % 2**64))
+        nodes = [heapq.heappop(s.heap) if s.heap else None for s in searches] if round_ else []
+        if round_ and not any(nodes):
             break
-        units = np.concatenate([s.units[i:] for s, i in jobs])
-        log_p, counts, edges = lattices.sample(units, np.concatenate([s.salts(round_, i) for s, i in jobs]))
-        at, offsets = 0, np.concatenate([[0], np.cumsum(counts)])
-        for s, i in jobs:
-            to = at + len(s.units) - i
-            got = [log_p[at:to], counts[at:to], edges[offsets[at] : offsets[to]]]
-            at = to
-            if round_ == 0:
-                path = _Path(*got, value=-float(np.log(-np.log(_uniform(s.seed)))))
-                s.push(path, 0, (), 0.0, round_)
+        salts = mixed(place + np.repeat(bases, lengths))
+        log_p, counts, sampled_edges = lattices.sample(units, salts)
+        sampled_at = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        jobs, others = [], {}
+        if round_:
+            live = [r for r, node in enumerate(nodes) if node]
+            at = row_at[live] + [nodes[r][2] for r in live]
+            found = lattices.sample_others(units[at], salts[at], [[path.choice(nodes[r][2]) for path in nodes[r][4]] for r in live])
+            others = dict(zip(live, found))
+            for r, (other_p, other) in others.items():
+                begin, i, parent = row_at[r], nodes[r][2], nodes[r][4][-1]
+                log_p[begin : begin + i], log_p[begin + i] = parent.log_p[:i], other_p
+                counts[begin : begin + i], counts[begin + i] = parent.counts[:i], len(other)
+        for r, s in enumerate(searches):
+            if round_ and r not in others:
+                continue
+            begin, end = row_at[r], row_at[r + 1]
+            edges, value = sampled_edges[sampled_at[begin] : sampled_at[end]], float(first_values[r])
+            if round_:
+                value, _, i, _, barred, spent = nodes[r]
+                kept = barred[-1].edges[: int(barred[-1].counts[:i].sum())]
+                edges, value = np.concatenate([kept, others[r][1], sampled_edges[sampled_at[begin + i + 1] : sampled_at[end]]]), -value
+            path = _Path(log_p[begin:end], counts[begin:end], edges, value)
+            if round_:
+                jobs.append((r, s, path, i, barred, spent, float(path.log_p[:i].sum())))
             else:
-                value, _, _, _, barred, spent, parent = s.node
-                l1, e1 = lattices.sample_other(int(s.units[i]), int(s.salts(round_, i)[0]), list(barred))
-                kept = int(parent.counts[:i].sum())
-                path = _Path(
-                    np.concatenate([parent.log_p[:i], [l1], got[0][1:]]),
-                    np.concatenate([parent.counts[:i], [len(e1)], got[1][1:]]),
-                    np.concatenate([parent.edges[:kept], e1, got[2][got[1][0] :]]),
-                    -value,
-                )
-                s.push(path, i, barred, spent, round_)
+                jobs.append((r, s, path, 0, (), 0.0, 0.0))
+        _push_all(jobs, row_at, row_of, log_p, salts, k)
+        for _, s, path, *_ in jobs:
             s.paths.append(path)
     for s in searches:
         threshold = -s.heap[0][0] if s.heap else -np.inf
@@ -323,7 +507,7 @@ def segmentations(rows: list[tuple[int, str]], v: Vocabulary, k: int, seed: int)
             total = float(path.log_p.sum())
             score = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(min(total - threshold, 50.0))))
             out.append((lattices.ids(path.edges), total, path.value, score))
-        s.paths, s.heap, s.node = [], [], None  # a long batch's paths go as its rows do
+        s.paths, s.heap = [], []
         yield out
 
 
@@ -359,6 +543,13 @@ def decoded(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: st
     return rest.mapInArrow(run, schema)
 
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    if kind != pa.list_(pa.int32()):
+        return pa.array(values, kind)
+    bounds = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *values])))
+
+
 def sampled(docs: DataFrame, model_file: str, k: int = 4, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text_crc32: bool = False) -> DataFrame:
     """Up to k rows per input row: id, sample (from 0), n_pieces, ids_crc32, log_prob, perturbed, inclusion and, if asked for, ids
     and text_crc32, the CRC of the text that the model decodes the ids to.
@@ -380,13 +571,13 @@ def sampled(docs: DataFrame, model_file: str, k: int = 4, seed: int = 0, id_col:
                 for sample, (ids, log_p, value, score) in enumerate(found):
                     more = [ids] * with_ids
                     if with_text_crc32:
-                        more.append(zlib.crc32(decode(ids.tolist(), model_file).encode()))
-                    for column, x in zip(out, (key, sample, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log_p, value, score, *more)):
+                        more.append(zlib.crc32(v.decoded(ids)))
+                    for column, x in zip(out, (key, sample, len(ids), zlib.crc32(ids.astype("<i4", copy=False)), log_p, value, score, *more)):
                         column.append(x)
                 if len(out[0]) >= OUT_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+                    yield pa.RecordBatch.from_arrays([_column(c, t) for c, t in zip(out, kinds)], names=names)
                     out = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([_column(c, t) for c, t in zip(out, kinds)], names=names)
 
         held, size = [], 0
         for batch in batches:

@@ -293,3 +293,33 @@ def test_sampling_without_replacement_has_the_right_law():
             want = sum(p * q / (1 - q) for k, q in probability.items() if k != key)
             assert first.get(key, 0) / n == pytest.approx(p, abs=0.04)
             assert second.get(key, 0) / n == pytest.approx(want, abs=0.05)
+
+
+def test_rows_are_sampled_together(monkeypatch):
+    v, calls, plain = sampled_pieces.vocabulary(PIECES), [], sampled_pieces.mixed
+    monkeypatch.setattr(sampled_pieces, "mixed", lambda x: calls.append(1) or plain(x))
+    found = list(sampled_pieces.segmentations([(i, f"some words of row {i} ☃") for i in range(400)], v, 4, 1))
+    assert len(calls) < 400 and [len(f) for f in found] == [4] * 400
+    for i, samples in enumerate(found):
+        assert all(v.decoded(ids) == sampled_pieces.decode(ids.tolist(), PIECES).encode() == f"some words of row {i} ☃".encode() for ids, *_ in samples)
+
+
+def test_later_sets_count_whatever_is_looked_at_first(monkeypatch):
+    v, got = sampled_pieces.vocabulary(PIECES), []
+    rows = [(i, " ".join(f"{w}{i * j % 7}" for j, w in enumerate(("the", "another", "tokens", "a") * (5 * i)))) for i in range(30)]
+    for first in (1, 32, 5000):
+        monkeypatch.setattr(sampled_pieces, "FIRST_SETS", first)
+        monkeypatch.setattr(sampled_pieces, "SEARCHED", 100 * first)
+        got.append([[(ids.tobytes(), round(log_p, 6), round(value, 6)) for ids, log_p, value, _ in found] for found in sampled_pieces.segmentations(rows, v, 6, 2)])
+    assert got[0] == got[1] == got[2] and all(len(found) == 6 for found in got[0][1:])
+
+
+def test_the_least_number_stays_in_its_unit():
+    v = sampled_pieces.vocabulary(PIECES)
+    lattices = sampled_pieces.Lattices(["▁another", "▁tokens"], v)
+    _, counts, edges = lattices.sample(np.array([1]), np.zeros(1, np.uint64))
+    assert counts[0] == len(edges) and v.decoded(lattices.ids(edges)) == b"tokens"
+    log_p, _, steps = lattices._walk(np.array([1]), np.array([2**64 - 0x9E3779B97F4A7C15], np.uint64), np.ones(1))  # its first number is 0
+    walked = np.concatenate([edge for _, edge in steps])
+    assert v.decoded(lattices.ids(walked)) == b"tokens" and walked[0] != lattices.chain_edges[lattices.chain_at[1]]
+    assert log_p[0] == pytest.approx(lattices.log_p[walked].sum())
