@@ -5,12 +5,16 @@ Invalid input gives null; ``strict`` raises on the executor instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_QUOTED = r'"[^"]*"|`[^`]*`|\[[^\]]*\]'
-_PART = rf'(?:{_QUOTED}|[^."`\[\]])+'
-_WHOLE = rf"^{_PART}(?:\.{_PART})*$"
+# A part without the spaces around it. Possessive: Java's regex recurses on other repeated groups, once per repeat.
+_QUOTED = r'"[^"]*+"|`[^`]*+`|\[[^\]]*+\]'
+_WORD = rf'(?:{_QUOTED}|[^ ."`\[\]]++)++'
+_PART = rf"{_WORD}(?: ++{_WORD})*+"
+_WHOLE = rf"^ *+{_PART} *+(?:\. *+{_PART} *+)*+$"
 
 # Raw data type -> canonical data type, for every dialect and then for some.
 TYPES = {
@@ -25,23 +29,37 @@ TYPES = {
 }
 
 
+def _given(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_identifier(name: Column, strict: bool = False) -> Column:
     """Parts at dots outside quotes, trimmed; null for an empty part or an open quote."""
-    parts = F.transform(F.regexp_extract_all(name, F.lit(f"({_PART})"), F.lit(1)), lambda p: F.trim(p))
-    good = name.rlike(_WHOLE) & ~F.exists(parts, lambda p: p == "")
+    parts = F.regexp_extract_all(name, F.lit(f"({_PART})"), F.lit(1))
     bad = F.raise_error(F.concat(F.lit("invalid identifier: "), F.coalesce(name, F.lit("null")))) if strict else F.lit(None)
-    return F.when(good, parts).otherwise(bad)
+    return F.when(name.rlike(_WHOLE), parts).otherwise(bad)
+
+
+def _bare(part: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.trim(part), r'^(?:"(.*)"|`(.*)`|\[(.*)\])$', "$1$2$3")))
+
+
+def _named(bare: Column) -> Column:
+    return F.when((bare != "") & (bare != "*"), bare)
 
 
 def normalize_part(part: Column) -> Column:
     """Trimmed, without one pair of quotes, trimmed, lower case; null if empty or a star."""
-    bare = F.lower(F.trim(F.regexp_replace(F.trim(part), r'^(?:"(.*)"|`(.*)`|\[(.*)\])$', "$1$2$3")))
-    return F.when((bare != "") & (bare != "*"), bare)
+    return _given(_bare(part), _named)
+
+
+def _normal_parts(name: Column, strict: bool = False) -> Column:
+    return F.transform(F.transform(split_identifier(name, strict), _bare), _named)
 
 
 def normalize(name: Column, strict: bool = False) -> Column:
-    parts = F.transform(split_identifier(name, strict), normalize_part)
-    return F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, "."))
+    return _given(_normal_parts(name, strict), lambda parts: F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ".")))
 
 
 def make_id(kind: str, name: Column) -> Column:
@@ -58,8 +76,7 @@ def leaf_name(name: Column) -> Column:
 
 
 def schema_name(name: Column) -> Column:
-    parts = split_identifier(name)
-    return F.when(F.size(parts) > 1, F.element_at(parts, -2))
+    return _given(split_identifier(name), lambda parts: F.when(F.size(parts) > 1, F.element_at(parts, -2)))
 
 
 def dataset_of(location: Column) -> Column:
@@ -75,18 +92,23 @@ def column_selection(id_: Column) -> Column:
 
 def fqn_candidates(name: Column) -> Column:
     """db.schema.table, schema.table, table: in this order, without repeats; null for more than three parts."""
-    parts = F.transform(split_identifier(name), normalize_part)
-    n = F.size(parts)
-    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
-    return F.when((n >= 1) & (n <= 3), F.array_distinct(each))
+
+    def candidates(parts: Column) -> Column:
+        n = F.size(parts)
+        each = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
+        return F.when((n >= 1) & (n <= 3), F.array_distinct(each))
+
+    return _given(_normal_parts(name), candidates)
 
 
 def lookup_keys(name: Column, *others: Column) -> Column:
     """All of the name, its last three and last two parts, and further names; never the bare leaf of a longer name."""
-    parts = F.split(normalize(name), r"\.")
-    tail = lambda k: F.when(F.size(parts) >= k, F.array_join(F.slice(parts, -k, k), "."))
-    keys = F.array(F.array_join(parts, "."), tail(3), tail(2), *[normalize(o) for o in others])
-    return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
+
+    def keys(parts: Column) -> Column:
+        tail = lambda k: F.when(F.size(parts) >= k, F.array_join(F.slice(parts, -k, k), "."))
+        return F.array(F.array_join(parts, "."), tail(3), tail(2), *[normalize(o) for o in others])
+
+    return F.array_distinct(F.filter(_given(F.split(normalize(name), r"\."), keys), lambda k: k.isNotNull()))
 
 
 def apply_aliases(df: DataFrame, name: str, aliases: DataFrame) -> DataFrame:

@@ -54,3 +54,18 @@ def test_aliases(spark):
     df = spark.createDataFrame([("A.B",), ("c",)], "n string")
     aliases = spark.createDataFrame([("a.b", "X.Y")], "alias string, target string")
     assert sorted(r.n for r in I.apply_aliases(df, "n", aliases).collect()) == ["c", "x.y"]
+
+
+def test_a_name_is_split_once_however_often_it_is_used(spark):
+    df = spark.range(1).select(F.col("id").cast("string").alias("s"))
+    for use in (I.split_identifier, I.normalize, I.fqn_candidates, I.schema_name, I.leaf_name):
+        plan = df.select(use(F.col("s")).alias("out"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1, plan
+
+
+def test_long_names(spark):
+    long = "Ab c" * 25_000
+    rows = [f"{long} . T", f"{long}..t", f"{long}.[open"]
+    got = values(spark, rows, I.split_identifier(F.col("s")), I.normalize(F.col("s")), I.fqn_candidates(F.col("s")))
+    low = long.lower()
+    assert got == [([long, "T"], f"{low}.t", [f"{low}.t", "t"]), (None, None, None), (None, None, None)]
