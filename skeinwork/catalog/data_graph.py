@@ -98,10 +98,10 @@ def merge_edges(spark: SparkSession, d: str) -> DataFrame:
     t = _read(spark, d, "lineitem")
     keys = [F.lit("feeds").alias("kind"), _id("part", "l_partkey").alias("source_id"), _id("supplier", "l_suppkey").alias("target_id")]
     pair = t.groupBy("l_partkey", "l_suppkey").agg(F.min("l_returnflag").alias("low"), F.max("l_returnflag").alias("high"))
-    a, b = (fill(pair.select(*keys, F.col(c).alias("label"), F.lit("high").alias("confidence")), EDGES) for c in ("low", "high"))
-    edges, warnings = merge.merge_edges([a, b])
-    n = warnings.groupBy(F.regexp_extract("message", "Edge '([^']*)->", 1).alias("source_id"), F.regexp_extract("message", "->([^']*)'", 1).alias("target_id")).agg(F.count(F.lit(1)).alias("n_warnings"))
-    return edges.join(n, ["source_id", "target_id"], "left").select("source_id", "target_id", "label", F.coalesce("n_warnings", F.lit(0)).cast("long").alias("n_warnings"))
+    # both sources come from one pass over the pairs
+    sources = F.array(*[F.struct(F.lit(i).alias("_src"), F.col(c).alias("label"), F.lit("high").alias("confidence")) for i, c in enumerate(("low", "high"))])
+    merged = merge.merged_edges(fill(pair.select(*keys, F.inline(sources)), f"{EDGES}, _src int"))
+    return merged.select("source_id", "target_id", "label", F.size("warnings").cast("long").alias("n_warnings"))
 
 
 def tier_match(spark: SparkSession, d: str) -> DataFrame:

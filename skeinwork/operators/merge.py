@@ -5,6 +5,7 @@ Order is explicit (source ordinal), so results don't depend on partitions. One s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,42 +25,37 @@ def _quoted(value: Column) -> Column:
     return F.concat(F.lit("'"), F.coalesce(value, F.lit("")), F.lit("'"))
 
 
-def _field(name: str):
-    return lambda r: r[name]
+def _given(values: Column) -> Column:
+    """The distinct values that aren't blank, first ones first."""
+    return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != "")))
 
 
-def _first(rows: Column, get) -> Column:
-    """The first value of the ordered rows."""
-    return F.get(F.transform(rows, get), F.lit(0))
+def _not_null(values: Column) -> Column:
+    return F.filter(values, lambda v: v.isNotNull())
 
 
-def _first_given(rows: Column, get) -> Column:
-    values = F.filter(F.transform(rows, get), lambda v: v.isNotNull() & (v != ""))
+def _first(values: Column) -> Column:
     return F.get(values, F.lit(0))
 
 
-def _others(rows: Column, get, blank: bool) -> Column:
-    """Later values that differ from the first one; ``blank`` ones count only if they may."""
-    values = F.transform(rows, get)
-    if not blank:
-        values = F.filter(values, lambda v: v.isNotNull() & (v != ""))
-    return F.array_distinct(F.filter(values, lambda v: ~v.eqNullSafe(F.get(values, F.lit(0)))))
-
-
-def _messages(values: Column, start: Column, own: Column) -> Column:
-    return F.transform(values, lambda v: F.concat(start, own, F.lit(" vs "), _quoted(v)))
+def _others(distinct: Column) -> Column:
+    """Distinct values after the first one."""
+    return F.slice(distinct, F.lit(2), F.greatest(F.size(distinct), F.lit(0)))
 
 
 def _with_parts(g: DataFrame, nodes: bool) -> DataFrame:
-    """Working columns, each computed once: given derivations, and for nodes all bindings and aspects with their keys."""
+    """Working columns, each computed once: given derivations with their states, and for nodes all bindings and aspects with their keys."""
     rows = F.col("rows")
-    g = g.withColumn("_derivations", F.filter(F.transform(rows, lambda r: r["derivation"]), lambda d: d.isNotNull()))
+    state = lambda d: F.concat(d["status"], F.lit("/"), d["confidence"])
+    g = g.withColumn("_derivations", _not_null(rows["derivation"]))
+    states = F.transform("_derivations", state)
+    g = g.withColumn("_states", F.when(F.size("_derivations") > 1, F.array_distinct(F.filter(states, lambda s: s != state(_first(F.col("_derivations")))))))
     if not nodes:
         return g
-    g = g.withColumn("_bindings", F.flatten(F.filter(F.transform(rows, lambda r: r["bindings"]), lambda b: b.isNotNull())))
+    g = g.withColumn("_bindings", F.flatten(_not_null(rows["bindings"])))
     g = g.withColumn("_binding_keys", F.transform("_bindings", binding_key))
-    g = g.withColumn("_aspects", F.flatten(F.transform(F.filter(rows, lambda r: r["aspects"].isNotNull()), lambda r: F.map_entries(r["aspects"]))))
-    return g.withColumn("_aspect_keys", F.transform("_aspects", lambda e: e["key"]))
+    g = g.withColumn("_aspects", F.flatten(F.transform(_not_null(rows["aspects"]), F.map_entries)))
+    return g.withColumn("_aspect_keys", F.col("_aspects")["key"])
 
 
 def _merged_bindings() -> tuple[Column, Column]:
@@ -67,104 +63,117 @@ def _merged_bindings() -> tuple[Column, Column]:
     place = lambda b: F.array_position("_binding_keys", binding_key(b))
     kept = F.filter("_bindings", lambda b, i: place(b) == i + 1)
     clash = F.filter("_bindings", lambda b: ~b.eqNullSafe(F.element_at("_bindings", place(b).cast("int"))))
-    return F.when(F.size("_bindings") > 0, kept), F.transform(clash, binding_key)
+    return F.when(F.size("_bindings") > 0, kept), F.when(F.size("_bindings") > 1, F.transform(clash, binding_key))
 
 
 def _merged_aspects() -> tuple[Column, Column]:
     place = lambda e: F.array_position("_aspect_keys", e["key"])
     kept = F.filter("_aspects", lambda e, i: place(e) == i + 1)
     clash = F.filter("_aspects", lambda e: e["value"] != F.element_at("_aspects", place(e).cast("int"))["value"])
-    return F.when(F.size("_aspects") > 0, F.map_from_entries(kept)), F.array_distinct(F.transform(clash, lambda e: e["key"]))
+    return F.when(F.size("_aspects") > 0, F.map_from_entries(kept)), F.when(F.size("_aspects") > 1, F.array_distinct(clash["key"]))
 
 
 def _evidence(rows: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(rows, lambda r: F.coalesce(r["evidence"], F.array()))))
+    return F.array_distinct(F.flatten(_not_null(rows["evidence"])))
 
 
-def _derivation() -> tuple[Column, Column]:
-    first = F.get("_derivations", F.lit(0))
-    state = lambda d: F.concat(d["status"], F.lit("/"), d["confidence"])
-    return first, F.array_distinct(F.filter(F.transform("_derivations", state), lambda s: s != state(first)))
+def _warned(code: str, values: Column, message: Callable[[Column], Column], subject: Column) -> Column:
+    """A warning per value; none for null."""
+    row = lambda v: F.struct(F.lit(code).alias("code"), message(v).alias("message"), F.lit(None).cast("string").alias("location"), subject.alias("subject_id"))
+    return F.when(F.size(values) > 0, F.transform(values, row)).otherwise(F.array())
 
 
-def _warn(df: DataFrame, code: Column, message: Column, subject: Column) -> DataFrame:
-    """A row per element of the ``message`` array."""
-    found = df.select(code.alias("code"), F.explode(message).alias("message"), subject.alias("subject_id"))
-    return found.select("code", "message", F.lit(None).cast("string").alias("location"), "subject_id")
+def _differs(distinct: Column, start: Column, subject: Column) -> Column:
+    return _warned(_RANKED, _others(distinct), lambda v: F.concat(start, _quoted(_first(distinct)), F.lit(" vs "), _quoted(v)), subject)
 
 
-def _grouped(frames: list[DataFrame], keys: list[str]) -> DataFrame:
-    stacked = _stack(frames)
+def _unpacked(merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return merged.drop("warnings"), merged.select(F.inline("warnings"))
+
+
+def _grouped(stacked: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per key with its sources' ``rows`` in their order."""
     rest = [c for c in stacked.columns if c not in keys and c != "_src"]
     rows = F.collect_list(F.struct("_src", F.struct(*rest).alias("r")))
-    # sources are few; a key's rows are as many as its sources, and repeats within one
-    return stacked.groupBy(*keys).agg(rows.alias("rows")).withColumn("rows", F.array_sort("rows", lambda a, b: (a["_src"] - b["_src"]).cast("int"))).withColumn("rows", F.transform("rows", lambda r: r["r"]))
+    # the hash decides most comparisons of a sort; sources are few; a key's rows are as many as its sources, and repeats within one
+    g = stacked.groupBy(F.xxhash64(*keys).alias("_hash"), *keys).agg(rows.alias("rows")).drop("_hash")
+    ordered = F.array_sort("rows", lambda a, b: (a["_src"] - b["_src"]).cast("int"))
+    return g.withColumn("rows", F.when(F.size("rows") > 1, ordered).otherwise(F.col("rows"))).withColumn("rows", F.col("rows")["r"])
 
 
-def merge_nodes(frames: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Nodes merged by id, and warnings. Differing kinds of an id raise."""
-    g = _with_parts(_grouped(frames, ["id"]), nodes=True)
+def merged_nodes(stacked: DataFrame) -> DataFrame:
+    """Nodes of all sources, ``_src`` is a source's place, merged by id, each with its ``warnings``. Differing kinds of an id raise."""
     rows, id_ = F.col("rows"), F.col("id")
-    kinds = F.array_distinct(F.transform(rows, lambda r: r["kind"]))
+    g = _with_parts(_grouped(stacked, ["id"]), nodes=True)
+    g = g.withColumn("_names", F.array_distinct(rows["name"])).withColumn("_qualified", _given(rows["qualified_name"])).withColumn("_schemas", _given(rows["schema"]))
+    names, qualified, schemas = F.col("_names"), F.col("_qualified"), F.col("_schemas")
+    kinds = F.array_distinct(rows["kind"])
     problem = F.concat(_quoted(id_), F.lit(" is of several kinds: "), F.array_join(kinds, ", "))
-    kind = F.when(F.size(kinds) > 1, F.raise_error(problem)).otherwise(F.get(kinds, F.lit(0)))
+    kind = F.when(F.size(kinds) > 1, F.raise_error(problem)).otherwise(_first(kinds))
     bindings, drift = _merged_bindings()
     aspects, clash = _merged_aspects()
-    derivation, states = _derivation()
-    out = g.select(
+    derivation, states = _first(F.col("_derivations")), F.col("_states")
+    start = lambda what: F.concat(_quoted(id_), F.lit(f" differs by source in {what}: "))
+    own = F.when(id_.startswith("column:") | id_.startswith("table:"), id_)
+    warnings = [
+        _differs(names, start("node.name"), id_),
+        _warned(_RANKED, states, lambda s: F.concat(start("derivation"), derivation["status"], F.lit("/"), derivation["confidence"], F.lit(" vs "), s), id_),
+        _warned(_RANKED, clash, lambda k: F.concat(_quoted(id_), F.lit(" differs by source in aspect "), _quoted(k)), id_),
+        _warned("schema_drift", drift, lambda k: F.concat(_quoted(id_), F.lit(" is bound differently by source at ("), F.concat_ws(", ", *[_quoted(k[f]) for f in ("warehouse", "database", "schema", "table", "column")]), F.lit(")")), id_),
+        _differs(qualified, start("node.qualified_name"), own),
+        _differs(schemas, start("node.schema"), own),
+    ]
+    return g.select(
         "id",
         kind.cast("string").alias("kind"),
-        _first(rows, lambda r: r["name"]).alias("name"),
-        _first_given(rows, lambda r: r["qualified_name"]).alias("qualified_name"),
-        _first_given(rows, lambda r: r["schema"]).alias("schema"),
+        _first(names).alias("name"),
+        _first(qualified).alias("qualified_name"),
+        _first(schemas).alias("schema"),
         _evidence(rows).alias("evidence"),
         derivation.alias("derivation"),
         bindings.alias("bindings"),
         aspects.alias("aspects"),
+        F.concat(*warnings).alias("warnings"),
     )
-    many = g.filter(F.size("rows") > 1)
-    start = lambda what: F.concat(_quoted(id_), F.lit(f" differs by source in {what}: "))
-    own = F.when(id_.startswith("column:") | id_.startswith("table:"), id_)
-    parts = [
-        _warn(many, F.lit(_RANKED), _messages(_others(rows, lambda r: r["name"], True), start("node.name"), _quoted(_first(rows, lambda r: r["name"]))), id_),
-        _warn(many, F.lit(_RANKED), F.transform(states, lambda s: F.concat(start("derivation"), derivation["status"], F.lit("/"), derivation["confidence"], F.lit(" vs "), s)), id_),
-        _warn(many, F.lit(_RANKED), F.transform(clash, lambda k: F.concat(_quoted(id_), F.lit(" differs by source in aspect "), _quoted(k))), id_),
-        _warn(many, F.lit("schema_drift"), F.transform(drift, lambda k: F.concat(_quoted(id_), F.lit(" is bound differently by source at ("), F.concat_ws(", ", *[_quoted(k[f]) for f in ("warehouse", "database", "schema", "table", "column")]), F.lit(")"))), id_),
-    ]
-    for field, what in (("qualified_name", "node.qualified_name"), ("schema", "node.schema")):
-        get = _field(field)
-        parts.append(_warn(many, F.lit(_RANKED), _messages(_others(rows, get, False), start(what), _quoted(_first_given(rows, get))), own))
-    return out, reduce(DataFrame.unionByName, parts)
 
 
-def merge_edges(frames: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Edges merged by (kind, source_id, target_id), and warnings."""
-    g = _with_parts(_grouped(frames, ["kind", "source_id", "target_id"]), nodes=False)
+def merge_nodes(frames: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Nodes merged by id, and warnings. Differing kinds of an id raise."""
+    return _unpacked(merged_nodes(_stack(frames)))
+
+
+def merged_edges(stacked: DataFrame) -> DataFrame:
+    """Edges of all sources, ``_src`` is a source's place, merged by (kind, source_id, target_id), each with its ``warnings``."""
     rows = F.col("rows")
-    derivation, states = _derivation()
-    out = g.select(
+    g = _with_parts(_grouped(stacked, ["kind", "source_id", "target_id"]), nodes=False)
+    g = g.withColumn("_labels", _given(rows["label"])).withColumn("_statuses", _given(rows["match_status"])).withColumn("_confidences", F.array_distinct(rows["confidence"]))
+    labels, statuses, confidences = F.col("_labels"), F.col("_statuses"), F.col("_confidences")
+    derivation, states = _first(F.col("_derivations")), F.col("_states")
+    pair = F.concat("source_id", F.lit("->"), "target_id")
+    own = F.when(pair.startswith("column:") | pair.startswith("table:"), pair)
+    source = F.col("source_id")
+    warnings = [
+        _differs(confidences, F.concat(F.lit("Edge "), _quoted(pair), F.lit(" of kind "), "kind", F.lit(" differs by source in confidence: ")), source),
+        _warned(_RANKED, states, lambda s: F.concat(_quoted(source), F.lit(" differs by source in derivation: "), derivation["status"], F.lit("/"), derivation["confidence"], F.lit(" vs "), s), source),
+        _differs(labels, F.concat(F.lit("Edge "), _quoted(pair), F.lit(" differs by source in label: ")), own),
+        _differs(statuses, F.concat(F.lit("Edge "), _quoted(pair), F.lit(" differs by source in match_status: ")), own),
+    ]
+    return g.select(
         "kind",
         "source_id",
         "target_id",
-        _first_given(rows, lambda r: r["label"]).alias("label"),
-        _first(rows, lambda r: r["confidence"]).alias("confidence"),
-        _first_given(rows, lambda r: r["match_status"]).alias("match_status"),
+        _first(labels).alias("label"),
+        _first(confidences).alias("confidence"),
+        _first(statuses).alias("match_status"),
         _evidence(rows).alias("evidence"),
         derivation.alias("derivation"),
+        F.concat(*warnings).alias("warnings"),
     )
-    many = g.filter(F.size("rows") > 1)
-    pair = F.concat("source_id", F.lit("->"), "target_id")
-    own = F.when(pair.startswith("column:") | pair.startswith("table:"), pair)
-    confidence = F.concat(F.lit("Edge "), _quoted(pair), F.lit(" of kind "), "kind", F.lit(" differs by source in confidence: "))
-    parts = [
-        _warn(many, F.lit(_RANKED), _messages(_others(rows, lambda r: r["confidence"], True), confidence, _quoted(_first(rows, lambda r: r["confidence"]))), F.col("source_id")),
-        _warn(many, F.lit(_RANKED), F.transform(states, lambda s: F.concat(_quoted(F.col("source_id")), F.lit(" differs by source in derivation: "), derivation["status"], F.lit("/"), derivation["confidence"], F.lit(" vs "), s)), F.col("source_id")),
-    ]
-    for field in ("label", "match_status"):
-        get = _field(field)
-        start = F.concat(F.lit("Edge "), _quoted(pair), F.lit(f" differs by source in {field}: "))
-        parts.append(_warn(many, F.lit(_RANKED), _messages(_others(rows, get, False), start, _quoted(_first_given(rows, get))), own))
-    return out, reduce(DataFrame.unionByName, parts)
+
+
+def merge_edges(frames: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Edges merged by (kind, source_id, target_id), and warnings."""
+    return _unpacked(merged_edges(_stack(frames)))
 
 
 def merge(*graphs: Graph) -> Graph:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from skeinwork.catalog import data_graph
 from skeinwork.emit.formats import emit, emit_impact, graph_dict, graph_rows, validate
 from skeinwork.operators import checks, graph, match, merge, policy
 from skeinwork.schemas import GraphError, graph_of
@@ -138,3 +139,26 @@ def test_emit(spark):
     assert "column:a.x" in emit_impact(t) and t.completeness == "unknown" and "flowchart" in emit_impact(t, "mermaid")
     assert validate({"version": "2", "nodes": [{"id": "x"}], "edges": []})
     assert graph.tree("a", [("a", "b"), ("b", "a")]) == "a\n  b\n    a (cycle)\n"
+
+
+def aggregates(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")
+
+
+def test_merge_groups_each_relation_once(spark):
+    n = [spark.range(3).select(F.concat(F.lit("table:"), "id").alias("id"), F.lit("table").alias("kind"), F.lit(x).alias("name")) for x in "ab"]
+    e = [spark.range(3).select(F.lit("feeds").alias("kind"), F.concat(F.lit("t:"), "id").alias("source_id"), F.lit("u").alias("target_id"), F.lit(x).alias("label")) for x in "ab"]
+    graphs = [graph_of(spark, *both) for both in zip(n, e, strict=True)]
+    for merged in (merge.merge_nodes([g.nodes for g in graphs]), merge.merge_edges([g.edges for g in graphs])):
+        assert [aggregates(df) for df in merged] == [1, 1]
+        assert merged[1].count() == 3
+
+
+def test_merge_edges_query_counts_each_edge_in_one_pass(spark, tmp_path):
+    lines = [(1, 1, "A"), (1, 1, "R"), (1, 2, "N"), (1, 2, "N"), (None, 2, "A"), (None, 2, "N"), (3, 3, None), (3, 3, "R")]
+    spark.createDataFrame(lines, "l_partkey bigint, l_suppkey bigint, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = data_graph.merge_edges(spark, str(tmp_path))
+    rows = {(r.source_id, r.target_id): (r.label, r.n_warnings) for r in out.collect()}
+    assert rows == {("part:1", "supplier:1"): ("A", 1), ("part:1", "supplier:2"): ("N", 0), (None, "supplier:2"): ("A", 1), ("part:3", "supplier:3"): ("R", 0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert aggregates(out) == 2 and plan.count("Relation [") == 1 and "Join" not in plan
